@@ -8,8 +8,8 @@ of `TRIPLES` are a Turan system: any four positions hold one of them, so every
 pair that the count filter would keep meets in a posting list. Inside a list the
 shared positional bytes of each pair are tallied, pairs with fewer than the
 guaranteed minimum are dropped and the others are verified by their bit
-difference. A list yields a spanning forest of its verified links, never all
-pairs, which leaves the components as they are.
+difference. A list yields one edge for each member at most, from the first of its
+component, and never all pairs, which leaves the components as they are.
 
 A list longer than `most` (a hot group of near copies) is split and not capped: two
 fingerprints that agree on the listed bits and differ in at most 4 of the others
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, n_words: int) -> D
 
 
 def _forest(fp: np.ndarray, least: int, bits: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest over the verified links of one posting list."""
+    """For each component of the verified links of one posting list, edges from its first member to the others."""
     x = fp[:, None] ^ fp[None, :]
     tally = np.zeros(x.shape, np.uint8)
     for p in range(8):
@@ -145,7 +145,7 @@ def _finer(batches):
 
 
 def near_links(distinct: DataFrame, bits: int = 4, most: int = 2048) -> DataFrame:
-    """(a, b): links that span the components of the distinct fingerprints `fp` under <= `bits` differing bits."""
+    """(a, b): edges with the same components as the links of the distinct fingerprints `fp` under <= `bits` differing bits."""
     if not 0 <= bits <= 4:
         raise ValueError("triples of positional bytes find every pair only up to 4 differing bits")
     if most < 64:
