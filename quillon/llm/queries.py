@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm.chat import chat_digest
 from quillon.llm.common import table
+from quillon.llm.lines import dedup_lines, line_dedup_sql
+from quillon.llm.mixing import schedule, schedule_sql
 from quillon.llm.quality import classify
 from quillon.llm.simhash import simhash_components
 from quillon.llm.substring import substring_digest
@@ -22,10 +24,28 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), n_words=4, bits=4)
 
 
+MIN_SITES = 10
+
+
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"), min_sites=MIN_SITES, counts=True).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digest(table(spark, sf_dir, "documents"), k=20)
 
 
+#: Every fourth source, by name, has weight 1, 2, 3 or 4.
+def _weights(docs: DataFrame) -> dict[str | None, float]:
+    names = [r.source for r in docs.select("source").distinct().limit(10_001).collect()]
+    return {s: 1 + i % 4 for i, s in enumerate(sorted(names, key=lambda s: (s is not None, s or "")))}
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return schedule(docs, _weights(docs), block_docs=4)
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -34,8 +54,8 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_simhash, op5_substring, op8_chat)}
+    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_lines, op5_substring, op7_mixing, op8_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_lines": line_dedup_sql(MIN_SITES), "op7_mixing": schedule_sql("1 + (i - 1) % 4", 4)}
