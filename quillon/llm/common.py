@@ -111,7 +111,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def pieces(batches, column: str, most: int = 4 << 20):
+def pieces(batches, column: str, most: int = 1 << 20):
     """The record batches, sliced so that `column` has about `most` bytes, or one row."""
     for batch in batches:
         if not batch.num_rows:

@@ -51,10 +51,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 def word_hashes(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word in `joined` form: its bytes by powers of an odd number, modulo 2^64."""
     size = np.diff(at)
-    place = spread(np.zeros(len(size), np.int64), size)
-    weigh = buf.astype(np.uint64)
-    weigh += np.uint64(1)
-    weigh *= BYTE_POWERS[place & 4095]
+    place = np.arange(len(buf), dtype=np.int32)
+    place -= np.repeat(at[:-1].astype(np.int32), size)
+    place &= 4095
+    weigh = BYTE_POWERS[place]
+    weigh *= buf + np.uint64(1)
     return mix(np.add.reduceat(weigh, at[:-1])) if len(size) else np.zeros(0, np.uint64)
 
 
@@ -192,7 +193,7 @@ def _ranges(k1, k2, start, k: int) -> list[pa.Array]:
     return [pa.array(k1[head]), pa.array(k2[head]), pa.array(start[head].astype(np.int32)), pa.array((start[last] + k).astype(np.int32))]
 
 
-def compare(k: int, slab: int = 24 << 20):
+def compare(k: int, slab: int = 4 << 20):
     """Reads super-k-mers in the order of their minimisers. Yields ranges of words to remove, and the windows of minimisers that outgrow a slab."""
 
     none = pa.array([], pa.binary())
@@ -247,7 +248,7 @@ def compare(k: int, slab: int = 24 << 20):
 RANGES = "k1 long, k2 long, start int, stop int, window binary"
 
 
-def repeated_ranges(docs: DataFrame, k: int = 20, m: int = 4, slab: int = 24 << 20) -> DataFrame:
+def repeated_ranges(docs: DataFrame, k: int = 20, m: int = 4, slab: int = 4 << 20) -> DataFrame:
     """(k1, k2, start, stop): words of documents that repeat an earlier window. docs: (k1, k2, t)."""
     kmers = docs.mapInArrow(super_kmers(k, m), COLUMNS)
     got = cut(kmers.repartition("mini").sortWithinPartitions("mini").mapInArrow(compare(k, slab), RANGES))
@@ -293,7 +294,7 @@ def _with_ranges(docs: DataFrame, k: int, m: int, slab: int) -> DataFrame:
     return docs.join(by_doc, ["k1", "k2"], "left").select("id", "t", "ranges")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 20, m: int = 4, slab: int = 24 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 20, m: int = 4, slab: int = 4 << 20) -> DataFrame:
     """(id_col, text): every row with the words of repeated windows removed, the others joined by one space.
 
     A null or empty text, and one of fewer than `k` words, loses nothing (null gives an empty text).
@@ -308,7 +309,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.mapInArrow(run, docs.select("id").schema.add("text", "string")).toDF(id_col, text_col)
 
 
-def substring_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 20, m: int = 4, slab: int = 24 << 20) -> DataFrame:
+def substring_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 20, m: int = 4, slab: int = 4 << 20) -> DataFrame:
     """(id_col, n_words, n_removed, kept_sha256) of what `substring_dedup` returns."""
     docs = _keyed(docs, id_col, text_col)
 

@@ -40,7 +40,7 @@ def made(seed, k):
     return rows + [(200, None), (201, ""), (202, " \n "), (5, rows[5][1]), (None, rows[7][1]), (300, "a " * 400), (301, "a " * 30)]
 
 
-@pytest.mark.parametrize(("seed", "k", "slab"), [(1, 20, 24 << 20), (2, 8, 24 << 20), (3, 8, 1500)])
+@pytest.mark.parametrize(("seed", "k", "slab"), [(1, 20, 4 << 20), (2, 8, 4 << 20), (3, 8, 1500)])
 def test_against_brute_force(spark, seed, k, slab):
     rows = made(seed, k)
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, k1 int").repartition(5)
