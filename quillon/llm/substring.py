@@ -2,17 +2,21 @@
 
 A window is `k` consecutive words. Its minimiser is the least hash among its runs of
 `m` words. Consecutive windows that share a minimiser's occurrence form a super-k-mer:
-they travel as one packed string of words, keyed by the minimiser, so a text is sent
-about (k + run) / run times and not k times. Equal windows have equal minimisers and so
-meet in one bucket. There the windows are sorted by hash, document and start; equal
-hashes are verified word by word, and every window but the first of its kind marks its
-words for removal. The marks, ranges of word positions, go back to their documents.
-
-Buckets are read in order and in slabs that end between two minimisers, so a task
-holds one slab of bounded size. A minimiser whose strings outgrow a slab (one passage
-in a third of all documents) is split and not capped: its windows leave the task one by
-one and are compared by Spark's own grouped minimum, keyed by the window itself, which
-combines equal windows on the map side.
+they travel as one packed string of words, so a text is sent about (k + run) / run times
+and not k times. A super-k-mer's bucket comes from its minimiser; equal windows have equal
+minimisers and so meet in one bucket. There windows are sorted by hash, document and start;
+equal hashes are verified byte by byte, and every window but the first of its kind marks
+its words for removal. The marks, ranges of word positions, go back to their documents.
+
+A map task sends what it has for a bucket as one compressed block, its rows ordered by a finer
+share of the minimiser. The number of buckets follows the size of the texts, so that
+a bucket stays near `bucket` bytes; it is read block by block and compared share by share.
+
+A passage in a third of all documents fills its bucket without bound, so a bucket
+that outgrows `slab` bytes is first collapsed: equal strings leave their earliest
+occurrence, and the others are marked at once. What still outgrows it is split and not
+capped: its windows leave the task one by one and are compared by Spark's own grouped
+minimum, keyed by the window itself, which combines equal windows on the map side.
 
 Rows are ordered by (doc_id, hash of the text); null ids come last. Rows that repeat both are one
 document and get one result.
@@ -24,6 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,13 +55,19 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def word_hashes(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word in `joined` form: its bytes by powers of an odd number, modulo 2^64."""
-    size = np.diff(at)
-    place = np.arange(len(buf), dtype=np.int32)
-    place -= np.repeat(at[:-1].astype(np.int32), size)
-    place &= 4095
-    weigh = BYTE_POWERS[place]
-    weigh *= buf + np.uint64(1)
-    return mix(np.add.reduceat(weigh, at[:-1])) if len(size) else np.zeros(0, np.uint64)
+    out = np.zeros(len(at) - 1, np.uint64)
+    lo = 0
+    while lo < len(out):  # about a megabyte at a time
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 20))) - 1)
+        part, head = buf[at[lo] : at[hi]], (at[lo:hi] - at[lo]).astype(np.int32)
+        place = np.arange(len(part), dtype=np.int32)
+        place -= np.repeat(head, np.diff(at[lo : hi + 1]))
+        place &= 4095
+        weigh = BYTE_POWERS[place]
+        weigh *= part + np.uint64(1)
+        out[lo:hi] = np.add.reduceat(weigh, head)
+        lo = hi
+    return mix(out)
 
 
 def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
@@ -101,50 +112,108 @@ def _super_kmers(data: np.ndarray, off: np.ndarray, k: int, m: int):
     return t[head], window[head] - first[t[head]], np.diff(np.append(head, len(window))), low[window[head]], window[head], buf, at
 
 
-def _packed(buf, at, begin, end) -> pa.Array:
-    """Words begin..end - 1 of each range as one string, without the last space."""
-    lo, size = at[begin], at[end] - at[begin] - 1
-    off = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(buf[spread(lo, size)])])
+FIELDS = (("share", np.uint8), ("k1", np.int64), ("k2", np.int64), ("start", np.int32), ("n", np.int32), ("size", np.int32))
 
 
-COLUMNS = "mini long, k1 long, k2 long, start int, n int, packed binary"
-NAMES = ["mini", "k1", "k2", "start", "n", "packed"]
+class Rows:
+    """Super-k-mers as columns; `text` holds their packed strings end to end."""
 
+    def __init__(self, text: np.ndarray, **columns: np.ndarray):
+        self.text = text
+        self.__dict__.update({name: columns[name].astype(kind, copy=False) for name, kind in FIELDS})
+
+    def __len__(self) -> int:
+        return len(self.n)
+
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.size, dtype=np.int64) - self.size
+
+    def take(self, pick: np.ndarray) -> Rows:
+        return Rows(self.text[spread(self.starts()[pick], self.size[pick].astype(np.int64))], **{f: getattr(self, f)[pick] for f, _ in FIELDS})
+
+    def cut(self, lo: int, hi: int) -> Rows:
+        at = int(self.size[:lo].sum(dtype=np.int64))
+        return Rows(self.text[at : at + int(self.size[lo:hi].sum(dtype=np.int64))], **{f: getattr(self, f)[lo:hi] for f, _ in FIELDS})
+
+    def strings(self) -> pa.Array:
+        off = np.append(0, np.cumsum(self.size, dtype=np.int64))
+        return pa.Array.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(self.text))])
+
+    def packed(self, press: zstandard.ZstdCompressor) -> bytes:
+        """Columns byte-plane by byte-plane after differences of ids, so that they compress."""
+        out = [np.int64(len(self)).tobytes()]
+        for f, kind in FIELDS:
+            x = getattr(self, f)
+            x = np.diff(x, prepend=x[:1] * 0) if f == "k1" else x
+            out.append(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+        return press.compress(b"".join([*out, self.text.tobytes()]))
+
+    @staticmethod
+    def unpacked(blob: bytes, press: zstandard.ZstdDecompressor) -> Rows:
+        raw = np.frombuffer(press.decompress(blob), np.uint8)
+        n, at, cols = int(raw[:8].view(np.int64)[0]), 8, {}
+        for f, kind in FIELDS:
+            width = np.dtype(kind).itemsize
+            x = np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).reshape(-1).view(kind)
+            cols[f] = np.cumsum(x, dtype=np.int64) if f == "k1" else x
+            at += n * width
+        return Rows(raw[at:], **cols)
+
+    @staticmethod
+    def together(parts: list[Rows]) -> Rows:
+        return Rows(np.concatenate([p.text for p in parts]), **{f: np.concatenate([getattr(p, f) for p in parts]) for f, _ in FIELDS})
+
+
+def super_kmers(k: int, m: int, buckets: int, flush: int = 16 << 20):
+    """From (k1, k2, t) to (bucket, block)."""
 
-def super_kmers(k: int, m: int):
     def run(batches):
+        press = zstandard.ZstdCompressor(level=3)
+        held, held_at, size = [], [], 0
+
+        def blocks():
+            rows, bucket = Rows.together(held), np.concatenate(held_at)
+            order = np.argsort(bucket * 256 + rows.share, kind="stable")
+            rows, bucket = rows.take(order), bucket[order]
+            edge = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+            for j in range(0, len(edge) - 1, 256):
+                some = edge[j : j + 257]
+                blobs = [rows.cut(a, b).packed(press) for a, b in zip(some[:-1].tolist(), some[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[some[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "block"])
+
         for b in pieces(batches, "t"):
             data, off = text_bytes(b.column("t"))
             if (got := _super_kmers(data, off, k, m)) is None:
                 continue
             text, start, n, mini, begin, buf, at = got
-            for lo in range(0, len(text), 1 << 16):
-                cut_ = slice(lo, lo + (1 << 16))
-                pick = pa.array(text[cut_])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(mini[cut_].view(np.int64)), b.column("k1").take(pick), b.column("k2").take(pick), pa.array(start[cut_].astype(np.int32)), pa.array(n[cut_].astype(np.int32)), _packed(buf, at, begin[cut_], begin[cut_] + n[cut_] + k - 1)],
-                    NAMES,
-                )
+            lo, length = at[begin], at[begin + n + k - 1] - at[begin] - 1
+            k1, k2 = (np.asarray(b.column(c))[text] for c in ("k1", "k2"))
+            held.append(Rows(buf[spread(lo, length)], share=(mini >> np.uint64(16)) & np.uint64(255), k1=k1, k2=k2, start=start, n=n, size=length))
+            held_at.append(((mini >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64))
+            size += len(held[-1].text)
+            if size >= flush:
+                yield from blocks()
+                held, held_at, size = [], [], 0
+        if held:
+            yield from blocks()
 
     return run
 
 
-def _windows(rows: pa.RecordBatch, k: int):
+def _windows(rows: Rows, k: int):
     """Every window of the packed strings: key columns, start, hash, and the words in `joined` form."""
-    data, off = text_bytes(rows.column("packed"))
-    starts, ends, first = words(data, off)
-    buf, at = joined(data, starts, ends)
-    n = np.asarray(rows.column("n")).astype(np.int64)
+    off = np.append(0, np.cumsum(rows.size, dtype=np.int64))
+    starts, ends, first = words(rows.text, off)
+    buf, at = joined(rows.text, starts, ends)
+    n = rows.n.astype(np.int64)
     row = np.repeat(np.arange(len(n)), n)
     begin = spread(first[:-1], n)
     h = run_hashes(word_hashes(buf, at), k)[begin]
-    k1, k2, start = (np.asarray(rows.column(c)) for c in ("k1", "k2", "start"))
-    return k1[row], k2[row], spread(start.astype(np.int64), n), h, begin, buf, at
+    return rows.k1[row], rows.k2[row], spread(rows.start.astype(np.int64), n), h, begin, buf, at
 
 
-def _repeats(rows: pa.RecordBatch, k: int):
-    """(k1, k2, start) of every window of the slab that is not the first of its kind."""
+def _repeats(rows: Rows, k: int):
+    """(k1, k2, start, stop) of every window that is not the first of its kind."""
     k1, k2, start, h, begin, buf, at = _windows(rows, k)
     order = np.argsort(h)
     s = h[order]
@@ -154,104 +223,135 @@ def _repeats(rows: pa.RecordBatch, k: int):
     order = order[twin]
     order = order[np.lexsort((start[order], k2[order], k1[order], h[order]))]
     if not len(order):
-        return k1[:0], k2[:0], start[:0]
+        return k1[:0], k2[:0], start[:0], start[:0]
     s, lo, size = h[order], at[begin[order]], at[begin[order] + k] - at[begin[order]]
     same = s[1:] == s[:-1]
-    # neighbours of one hash are verified byte by byte
     equal = same & (size[1:] == size[:-1])
     i = np.flatnonzero(equal)
-    for j in range(0, len(i), 1 << 15):
-        p = i[j : j + (1 << 15)]
+    for j in range(0, len(i), 1 << 13):
+        p = i[j : j + (1 << 13)]
         differ = buf[spread(lo[p], size[p])] != buf[spread(lo[p + 1], size[p])]
         bad = np.add.reduceat(differ, np.cumsum(size[p]) - size[p], dtype=np.int64) > 0
         equal[p[bad]] = False
     if not np.array_equal(equal, same):  # hashes collide: compare the words themselves
         text = [buf[a : a + b].tobytes() for a, b in zip(lo, size)]
-        order = order[sorted(range(len(order)), key=lambda x: (text[x], k1[order[x]], k2[order[x]], start[order[x]]))]
-        lo, size = at[begin[order]], at[begin[order] + k] - at[begin[order]]
-        text = [buf[a : a + b].tobytes() for a, b in zip(lo, size)]
+        by = sorted(range(len(order)), key=lambda x: (text[x], k1[order[x]], k2[order[x]], start[order[x]]))
+        order, text = order[by], [text[x] for x in by]
         equal = np.array([a == b for a, b in zip(text, text[1:])], bool)
-    # a row that repeats another row's document and start is that window, not a later one
+    return _later(order, equal, k1, k2, start, np.full(len(start), k))
+
+
+def _later(order, equal, k1, k2, start, size):
+    """Of rows in order, runs of which are equal: those that aren't the run's first row, nor that row once more."""
     head = np.ones(len(order), bool)
     head[1:] = ~equal
     lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-    later = (k1[order] != k1[lead]) | (k2[order] != k2[lead]) | (start[order] != start[lead])
-    order = order[later]
-    return k1[order], k2[order], start[order]
+    late = order[(k1[order] != k1[lead]) | (k2[order] != k2[lead]) | (start[order] != start[lead])]
+    return k1[late], k2[late], start[late], start[late] + size[late]
 
 
-def _ranges(k1, k2, start, k: int) -> list[pa.Array]:
-    """Marked words as ranges: consecutive windows of a document in one."""
-    order = np.lexsort((start, k2, k1))
-    k1, k2, start = k1[order], k2[order], start[order]
-    new = np.ones(len(start), bool)
-    new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (start[1:] > start[:-1] + k)
-    head = np.flatnonzero(new)
-    last = np.append(head[1:], len(start)) - 1
-    if not len(start):
-        head = last = np.zeros(0, np.int64)
-    return [pa.array(k1[head]), pa.array(k2[head]), pa.array(start[head].astype(np.int32)), pa.array((start[last] + k).astype(np.int32))]
-
+def _collapsed(rows: Rows, k: int):
+    """One row for each string, its earliest; and the ranges of the others, which repeat it from end to end."""
+    code = np.asarray(rows.strings().dictionary_encode().indices)
+    order = np.lexsort((rows.start, rows.k2, rows.k1, code))
+    equal = code[order][1:] == code[order][:-1]
+    gone = _later(order, equal, rows.k1, rows.k2, rows.start, rows.n + k - 1)
+    return rows.take(np.sort(order[np.append(True, ~equal)])), gone
 
-def compare(k: int, slab: int = 4 << 20):
-    """Reads super-k-mers in the order of their minimisers. Yields ranges of words to remove, and the windows of minimisers that outgrow a slab."""
 
-    none = pa.array([], pa.binary())
+RANGES = "k1 long, k2 long, start int, stop int, window binary"
 
-    def done(rows: pa.RecordBatch):
-        cols = _ranges(*_repeats(rows, k), k)
-        return pa.RecordBatch.from_arrays([*cols, pa.nulls(len(cols[0]), pa.binary())], ["k1", "k2", "start", "stop", "window"])
 
-    def loose(rows: pa.RecordBatch):
-        for lo in range(0, rows.num_rows, 1024):
-            k1, k2, start, _, begin, buf, at = _windows(rows.slice(lo, 1024), k)
-            for j in range(0, len(start), 8192):
-                s = slice(j, j + 8192)
-                yield pa.RecordBatch.from_arrays([pa.array(k1[s]), pa.array(k2[s]), pa.array(start[s].astype(np.int32)), pa.array((start[s] + k).astype(np.int32)), _packed(buf, at, begin[s], begin[s] + k)], ["k1", "k2", "start", "stop", "window"])
+def _ranges(k1, k2, start, stop) -> pa.RecordBatch:
+    """Marked words as ranges: those of a document that touch in one."""
+    order = np.lexsort((start, k2, k1))
+    k1, k2, start, stop = k1[order], k2[order], start[order].astype(np.int64), stop[order].astype(np.int64)
+    doc = np.ones(len(start), bool)
+    doc[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+    # the furthest end so far within a document, by an offset that grows with the document
+    base = np.cumsum(doc) << 32
+    far = np.maximum.accumulate(stop + base) - base
+    new = doc.copy()
+    new[1:] |= start[1:] > far[:-1]
+    head = np.flatnonzero(new)
+    last = np.append(head[1:], len(start)) - 1 if len(head) else head
+    cols = [pa.array(k1[head]), pa.array(k2[head]), pa.array(start[head].astype(np.int32)), pa.array(far[last].astype(np.int32))]
+    return pa.RecordBatch.from_arrays([*cols, pa.nulls(len(head), pa.binary())], ["k1", "k2", "start", "stop", "window"])
+
+
+def compare(k: int, slab: int):
+    """Reads blocks in the order of their buckets. Yields ranges of words to remove, and the windows of what outgrows a slab."""
+
+    def loose(rows: Rows):
+        for lo in range(0, len(rows), 1024):
+            k1, k2, start, _, begin, buf, at = _windows(rows.cut(lo, lo + 1024), k)
+            size = at[begin + k] - at[begin] - 1
+            off = np.append(0, np.cumsum(size)).astype(np.int32)
+            text = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(buf[spread(at[begin], size)])])
+            yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(start.astype(np.int32)), pa.array((start + k).astype(np.int32)), text], ["k1", "k2", "start", "stop", "window"])
+
+    def whole(parts: list[Rows]):
+        """A bucket, share by share."""
+        rows = Rows.together(parts)
+        rows = rows.take(np.argsort(rows.share, kind="stable"))
+        edge = np.append(np.flatnonzero(np.diff(rows.share.astype(int), prepend=-1)), len(rows))
+        ends = np.append(0, np.cumsum(rows.size, dtype=np.int64))[edge]
+        i = 0
+        while i < len(edge) - 1:
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + slab // 8, "right")) - 1)
+            part = rows.cut(edge[i], edge[j])
+            if len(part.text) > slab // 2:
+                part, gone = _collapsed(part, k)
+                yield _ranges(*gone)
+            if len(part.text) > slab // 2:
+                yield from loose(part)
+            else:
+                yield _ranges(*_repeats(part, k))
+            i = j
 
     def run(batches):
-        held, size, hot = [], 0, None
-        for batch in batches:
-            mini = np.asarray(batch.column("mini"))
-            edge = np.flatnonzero(mini[1:] != mini[:-1]) + 1
-            if hot is not None:  # the rest of a minimiser that has outgrown its slab
-                same = int(edge[0]) if len(edge) else len(mini)
-                if len(mini) and mini[0] == hot:
-                    yield from loose(batch.slice(0, same))
-                    if same == len(mini):
-                        continue
-                    batch, mini = batch.slice(same), mini[same:]
-                    edge = edge[1:] - same
-                hot = None
-            held.append(batch)
-            size += batch.nbytes
-            if size < slab:
-                continue
-            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            mini = np.asarray(rows.column("mini"))
-            edge = np.flatnonzero(mini[1:] != mini[:-1]) + 1
-            to = int(edge[-1]) if len(edge) else 0
-            if to:
-                yield done(rows.slice(0, to))
-            held = [rows.slice(to)]
-            size = held[0].nbytes if to else size
-            if size >= slab:
-                hot = mini[-1]
-                yield from loose(held[0])
-                held, size = [], 0
-        if held:
-            yield done(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+        press = zstandard.ZstdDecompressor()
+        parts, size, least, now, hot = [], 0, 0, None, False
 
-    return run
+        def close():
+            if hot and parts:
+                rows, gone = _collapsed(Rows.together(parts), k)
+                yield _ranges(*gone)
+                yield from loose(rows)
+            elif parts:
+                yield from whole(parts)
 
+        for batch in batches:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("block")):
+                if bucket != now:
+                    yield from close()
+                    parts, size, least, now, hot = [], 0, 0, bucket, False
+                parts.append(Rows.unpacked(blob.as_buffer().to_pybytes(), press))
+                size += len(parts[-1].text)
+                if size - least < 2 * slab:
+                    continue
+                rows, gone = _collapsed(Rows.together(parts), k)
+                yield _ranges(*gone)
+                if hot or len(rows.text) > 2 * slab:
+                    hot = True
+                    yield from loose(rows)
+                    parts, size, least = [], 0, 0
+                else:
+                    parts, size = [rows], len(rows.text)
+                    least = size
+        yield from close()
 
-RANGES = "k1 long, k2 long, start int, stop int, window binary"
+    return run
 
 
-def repeated_ranges(docs: DataFrame, k: int = 20, m: int = 4, slab: int = 4 << 20) -> DataFrame:
+def repeated_ranges(docs: DataFrame, k: int = 20, m: int = 3, bucket: int = 8 << 20, slab: int = 16 << 20) -> DataFrame:
     """(k1, k2, start, stop): words of documents that repeat an earlier window. docs: (k1, k2, t)."""
-    kmers = docs.mapInArrow(super_kmers(k, m), COLUMNS)
-    got = cut(kmers.repartition("mini").sortWithinPartitions("mini").mapInArrow(compare(k, slab), RANGES))
+    if not 0 < m < k:
+        raise ValueError("a minimiser is shorter than a window")
+    size = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    buckets = max(64, 3 * size // bucket)
+    blocks = docs.mapInArrow(super_kmers(k, m, buckets), "bucket int, block binary")
+    got = cut(blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare(k, slab), RANGES))
     easy = got.where("window is null").drop("window")
     loose = got.where("window is not null")
     if loose.isEmpty():
@@ -263,7 +363,13 @@ def repeated_ranges(docs: DataFrame, k: int = 20, m: int = 4, slab: int = 4 << 2
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("k1"), F.xxhash64(text).alias("k2"), text.alias("t"))
+    k1 = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
+    again = cut(docs.select(k1.alias("k1")).groupBy("k1").count().where("count > 1").select("k1", F.lit(True).alias("again")))
+    rows = docs.select(F.col(id_col).alias("id"), k1.alias("k1"), text.alias("t"))
+    if again.isEmpty():
+        return rows.withColumn("k2", F.lit(0).cast("long"))
+    # the hash is sent along only where it tells rows apart
+    return rows.join(again, "k1", "left").select("id", "k1", "t", F.when(F.col("again"), F.xxhash64("t")).otherwise(0).cast("long").alias("k2"))
 
 
 def _kept(batch: pa.RecordBatch):
@@ -288,13 +394,13 @@ def _kept(batch: pa.RecordBatch):
     return texts, np.diff(first), np.diff(first) - np.diff(left)
 
 
-def _with_ranges(docs: DataFrame, k: int, m: int, slab: int) -> DataFrame:
-    found = repeated_ranges(docs.select("k1", "k2", "t"), k, m, slab)
+def _with_ranges(docs: DataFrame, k: int, m: int, bucket: int, slab: int) -> DataFrame:
+    found = repeated_ranges(docs.select("k1", "k2", "t"), k, m, bucket, slab)
     by_doc = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
     return docs.join(by_doc, ["k1", "k2"], "left").select("id", "t", "ranges")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 20, m: int = 4, slab: int = 4 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 20, m: int = 3, bucket: int = 8 << 20, slab: int = 16 << 20) -> DataFrame:
     """(id_col, text): every row with the words of repeated windows removed, the others joined by one space.
 
     A null or empty text, and one of fewer than `k` words, loses nothing (null gives an empty text).
@@ -305,11 +411,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for b in pieces(batches, "t"):
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(_kept(b)[0], pa.binary()).cast(pa.string())], ["id", "text"])
 
-    out = _with_ranges(docs, k, m, slab)
+    out = _with_ranges(docs, k, m, bucket, slab)
     return out.mapInArrow(run, docs.select("id").schema.add("text", "string")).toDF(id_col, text_col)
 
 
-def substring_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 20, m: int = 4, slab: int = 4 << 20) -> DataFrame:
+def substring_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 20, m: int = 3, bucket: int = 8 << 20, slab: int = 16 << 20) -> DataFrame:
     """(id_col, n_words, n_removed, kept_sha256) of what `substring_dedup` returns."""
     docs = _keyed(docs, id_col, text_col)
 
@@ -319,4 +425,4 @@ def substring_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n), pa.array(gone), pa.array([hashlib.sha256(t).hexdigest() for t in texts])], ["id", "n_words", "n_removed", "kept_sha256"])
 
     kind = docs.select("id").schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
-    return _with_ranges(docs, k, m, slab).mapInArrow(run, kind).withColumnRenamed("id", id_col)
+    return _with_ranges(docs, k, m, bucket, slab).mapInArrow(run, kind).withColumnRenamed("id", id_col)
