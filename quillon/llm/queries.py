@@ -11,6 +11,7 @@ from quillon.llm.chat import chat_digest
 from quillon.llm.common import table
 from quillon.llm.lines import dedup_lines, line_dedup_sql
 from quillon.llm.mixing import schedule, schedule_sql
+from quillon.llm.packing import pack_documents
 from quillon.llm.quality import classify
 from quillon.llm.simhash import simhash_components
 from quillon.llm.substring import substring_digest
@@ -53,8 +54,12 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(chats.union(probe))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), size=1024)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_lines, op5_substring, op7_mixing, op8_chat)}
+    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_lines, op5_substring, op7_mixing, op8_chat, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
