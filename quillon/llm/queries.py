@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.chat import chat_digest
 from quillon.llm.common import table
+from quillon.llm.extract import extract
 from quillon.llm.lines import dedup_lines, line_dedup_sql
 from quillon.llm.mixing import schedule, schedule_sql
 from quillon.llm.packing import pack_documents
@@ -32,6 +33,10 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"), min_sites=MIN_SITES, counts=True).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digest(table(spark, sf_dir, "documents"), k=20)
 
@@ -59,7 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_lines, op5_substring, op7_mixing, op8_chat, op10_packing)}
+    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_lines, op4_extract, op5_substring, op7_mixing, op8_chat, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
