@@ -16,6 +16,7 @@ from quillon.llm.packing import pack_documents
 from quillon.llm.quality import classify
 from quillon.llm.simhash import simhash_components
 from quillon.llm.substring import substring_digest
+from quillon.llm.vectors import near_dedup
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +42,10 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digest(table(spark, sf_dir, "documents"), k=20)
 
 
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 #: Every fourth source, by name, has weight 1, 2, 3 or 4.
 def _weights(docs: DataFrame) -> dict[str | None, float]:
     names = [r.source for r in docs.select("source").distinct().limit(10_001).collect()]
@@ -64,7 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_lines, op4_extract, op5_substring, op7_mixing, op8_chat, op10_packing)}
+    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_lines, op4_extract, op5_substring, op6_vectors, op7_mixing, op8_chat, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
