@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm.audio import align_recordings, spoken
 from quillon.llm.chat import chat_digest
 from quillon.llm.common import table
 from quillon.llm.extract import extract
@@ -64,12 +65,18 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(chats.union(probe))
 
 
+def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has a media column, so every row of `conversations` is spoken: conv_id * 100000 + turn is its recording."""
+    said = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("rec_id"), "text")
+    return align_recordings(said, "rec_id", "text", decode=spoken)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), size=1024)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_lines, op4_extract, op5_substring, op6_vectors, op7_mixing, op8_chat, op10_packing)}
+    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_lines, op4_extract, op5_substring, op6_vectors, op7_mixing, op8_chat, op9_audio, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
