@@ -20,22 +20,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the cluster's shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder: the one in `spark.checkpoint.dir`.
 
-    The folder is the one in `spark.checkpoint.dir`. Only where that is unset is
-    one chosen here: below the warehouse on a cluster, below /tmp in local mode.
+    Only where that is unset is one chosen here: below the warehouse on a cluster, below /tmp
+    in local mode.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and sc.master.startswith("local") and "cluster" not in sc.master:
             folder = f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
         sc.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the cluster's shared checkpoint folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same for wide rows, as a Parquet table."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def spare(df: DataFrame, *wanted: str) -> list[str]:
     """Names for helper columns that clash with no column of `df`, whatever its case rules."""
     taken = {c.lower() for c in df.columns}

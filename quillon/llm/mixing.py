@@ -75,6 +75,12 @@ def whole_shares(weights: dict[str | None, float], names: list[str | None], max_
     return out
 
 
+def stepped_weights(docs: DataFrame, source_col: str = "source", max_sources: int = 10_000) -> dict[str | None, float]:
+    """Example weights: 1, 2, 3 and 4 in turn over the sources by name."""
+    names = [r[0] for r in docs.select(F.col(source_col).cast("string")).distinct().limit(max_sources + 1).collect()]
+    return {s: 1 + i % 4 for i, s in enumerate(sorted(names, key=lambda s: (s is not None, s or "")))}
+
+
 def _key(id_col: str, text_col: str) -> Column:
     return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("binary"))
 

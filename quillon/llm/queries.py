@@ -12,7 +12,7 @@ from quillon.llm.chat import chat_digest
 from quillon.llm.common import table
 from quillon.llm.extract import extract
 from quillon.llm.lines import dedup_lines, line_dedup_sql
-from quillon.llm.mixing import schedule, schedule_sql
+from quillon.llm.mixing import schedule, schedule_sql, stepped_weights
 from quillon.llm.packing import pack_documents
 from quillon.llm.quality import classify
 from quillon.llm.simhash import simhash_components
@@ -47,15 +47,9 @@ def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "embeddings"), least=0.98)
 
 
-#: Every fourth source, by name, has weight 1, 2, 3 or 4.
-def _weights(docs: DataFrame) -> dict[str | None, float]:
-    names = [r.source for r in docs.select("source").distinct().limit(10_001).collect()]
-    return {s: 1 + i % 4 for i, s in enumerate(sorted(names, key=lambda s: (s is not None, s or "")))}
-
-
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return schedule(docs, _weights(docs), block_docs=4)
+    return schedule(docs, stepped_weights(docs), block_docs=4)
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
