@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.llm.common import IS_SPACE, crc_mod5, pieces, spare, text_bytes, words
 
@@ -232,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: LineCRF, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """`docs` with `score_col`. Null and empty texts, and those of white space only, score 0; every row stays."""
-    text, keep = spare(docs, "text_of_row", "row")
+    (text,) = spare(docs, "text_of_row")
 
     def run(batches):
         for b in pieces(batches, text):
@@ -240,8 +241,7 @@ def score(docs: DataFrame, model: LineCRF, text_col: str = "text", score_col: st
             yield pa.RecordBatch.from_arrays([*row.columns, pa.array(model.scores(b.column(text)))], [*row.schema.names, score_col])
 
     wide = docs.withColumn(text, F.col(text_col).cast("string"))
-    kind = docs.schema.add(score_col, "double")
-    return wide.mapInArrow(run, kind)
+    return wide.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **more) -> DataFrame:
