@@ -14,7 +14,7 @@ from quillon.llm import quality as Q
 from quillon.llm.common import crc_mod5
 from quillon.llm.lines import line_dedup_sql
 from quillon.llm.packing import tokenizer_path
-from test_simhash import brute
+from test_similar import brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,7 +60,7 @@ def test_line_dedup_against_sql(steps):
 
 def test_near_dedup_against_brute_force(steps):
     before = rows(steps["line_dedup"])
-    leads = {c for _, _, c in brute([(r[0], r[1]) for r in before])}
+    leads = brute([(r[0], r[1]) for r in before])
     assert rows(steps["near_dedup"]) == [r for r in before if r[0] in leads]
 
 
