@@ -44,7 +44,9 @@ def boilerplate(rows: DataFrame, min_sites: int, margin: float = 0.1, lg_k: int
     spread = F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites")
     seen = cut(rows.groupBy("h1", "h2").agg(spread, F.min(F.struct("k1", "k2", "pos")).alias("lead")).where(F.col("sites") >= low))
     near = seen.where(F.col("sites") <= high)
-    exact = rows.join(near.select("h1", "h2"), ["h1", "h2"]).groupBy("h1", "h2").agg(F.count_distinct("site").alias("n")).where(F.col("n") >= min_sites)
+    # a line that is everywhere shrinks to its sites before it is dealt out by its hash
+    pairs = rows.where("site is not null").select("h1", "h2", "site").distinct()
+    exact = pairs.join(near.select("h1", "h2"), ["h1", "h2"]).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites)
     sure = seen.where(F.col("sites") > high)
     return sure.select("h1", "h2", "lead").union(near.join(exact, ["h1", "h2"]).select("h1", "h2", "lead"))
 
