@@ -60,7 +60,7 @@ def spare(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str], rank: str, per_bucket: int = 4096) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: list[str], rank: str, per_bucket: int = 1024) -> DataFrame:
     """Adds `rank`, 0-based within `group` in the order of the md5 hex string order[0], then the rest.
 
     No task sees a whole group: rows fall into buckets by the leading 32 bits of
