@@ -115,6 +115,18 @@ def _super_kmers(data: np.ndarray, off: np.ndarray, k: int, m: int):
 FIELDS = (("share", np.uint8), ("k1", np.int64), ("k2", np.int64), ("start", np.int32), ("n", np.int32), ("size", np.int32))
 
 
+def gathered(text: np.ndarray, starts: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """The ranges of `text` end to end, about `most` bytes at a time: their positions take eight times the room."""
+    ends = np.cumsum(size, dtype=np.int64)
+    out = np.empty(ends[-1] if len(ends) else 0, np.uint8)
+    lo = at = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(ends, at + most, "right")))
+        out[at : ends[hi - 1]] = text[spread(starts[lo:hi], size[lo:hi].astype(np.int64))]
+        lo, at = hi, int(ends[hi - 1])
+    return out
+
+
 class Rows:
     """Super-k-mers as columns; `text` holds their packed strings end to end."""
 
@@ -129,7 +141,7 @@ class Rows:
         return np.cumsum(self.size, dtype=np.int64) - self.size
 
     def take(self, pick: np.ndarray) -> Rows:
-        return Rows(self.text[spread(self.starts()[pick], self.size[pick].astype(np.int64))], **{f: getattr(self, f)[pick] for f, _ in FIELDS})
+        return Rows(gathered(self.text, self.starts()[pick], self.size[pick]), **{f: getattr(self, f)[pick] for f, _ in FIELDS})
 
     def cut(self, lo: int, hi: int) -> Rows:
         at = int(self.size[:lo].sum(dtype=np.int64))
@@ -188,7 +200,7 @@ def super_kmers(k: int, m: int, buckets: int, flush: int = 16 << 20):
             text, start, n, mini, begin, buf, at = got
             lo, length = at[begin], at[begin + n + k - 1] - at[begin] - 1
             k1, k2 = (np.asarray(b.column(c))[text] for c in ("k1", "k2"))
-            held.append(Rows(buf[spread(lo, length)], share=(mini >> np.uint64(16)) & np.uint64(255), k1=k1, k2=k2, start=start, n=n, size=length))
+            held.append(Rows(gathered(buf, lo, length), share=(mini >> np.uint64(16)) & np.uint64(255), k1=k1, k2=k2, start=start, n=n, size=length))
             held_at.append(((mini >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64))
             size += len(held[-1].text)
             if size >= flush:
