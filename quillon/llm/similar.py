@@ -1,14 +1,18 @@
-"""Near-dedup at a stated Jaccard similarity, by wide SimHash fingerprints.
+"""Near-dedup at a stated Jaccard similarity, exactly, by prefix filtering.
 
-Texts of 0.8 similarity differ in some tenth of all SimHash bits and more, so no byte of a 64-bit fingerprint
-is sure to agree. Here a fingerprint has 512 bits over a text's distinct word shingles, 64 positional bytes, of which such a
-pair shares about 17 and unrelated texts share one at most. Triples of positional bytes, drawn
-once by a fixed seed, are the posting lists; in a list pairs are kept by their bit difference, and what is
-kept is verified by the exact Jaccard similarity of the shingle sets.
+A text is the set of its distinct word shingles, kept in one global order. Two sets of n and m shingles whose
+Jaccard similarity is t or more share one among the first n - ceil(t n) + 1 of the one and the first
+m - ceil(t m) + 1 of the other (Chaudhuri et al., 2006), so these prefixes are the posting lists and no pair is missed. Sizes
+and places in the sets rule most pairs of a list out (Xiao et al., "PPJoin", 2008); what is left is
+verified by the exact similarity of the sets.
 
-A list doesn't yield all its pairs: each member leaves an edge to its nearest, and uncovered members
-one to the hub that covers most of them, as copies of one text lie around it. A list of over `most` members is
-read in parts, whose hubs meet in a list of their own.
+Any order is right; rare shingles first keeps lists short. Shingles that batches hold repeatedly are counted, and
+the most frequent of them go behind all others, which go by their hash.
+
+A list of up to `LIST` texts yields all its pairs. In a longer one each text is verified with
+the list's first text, which unites what lies around one original. Lists that are still of more than one
+component after that are compared whole, in blocks of parts of `most` texts, and leave a forest of the
+links of each block.
 """
 
 from __future__ import annotations
@@ -19,13 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import connected_components, cut, joined, pieces, spare, text_bytes, words
+from quillon.llm.common import connected_components, cut, joined, pieces, spare, stored, text_bytes, words
 from quillon.llm.simhash import FOLD, SEED
 
-WORDS = 8  # 64-bit words in a fingerprint
-TRIPLES = 200
-MULTIPLIERS = (np.random.default_rng(7).integers(1 << 62, size=WORDS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-COMBOS = np.array([np.sort(np.random.default_rng([11, i]).choice(8 * WORDS, 3, replace=False)) for i in range(TRIPLES)])
+LIST = 32
+#: How many shingles are ordered by how frequent they are, at most, and from what count on.
+COMMON, COMMON_FROM = 1 << 16, 16
+#: Shingles that are counted together before those seen once are left out.
+COUNTED = 1 << 20
+SLACK = 1e-9  # of comparisons that only rule pairs out
 
 
 def shingle_sets(col: pa.Array, n_words: int):
@@ -44,99 +50,162 @@ def shingle_sets(col: pa.Array, n_words: int):
         yield np.unique(np.fromiter((digest(raw[x:y], SEED) for x, y in zip(lo, hi)), np.uint64, len(lo)))
 
 
-def wide_fingerprint(h: np.ndarray) -> bytes:
-    """The majority of each bit over words derived from the shingles' hashes."""
-    ones = np.zeros(64 * WORDS, np.int64)
-    for j in range(0, len(h), 255):  # so few that a byte counts them
-        x = h[j : j + 255, None] * MULTIPLIERS
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(29)
-        ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
-    return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
+def set_node(h: np.ndarray) -> int:
+    """A set's node: 64 bits of its hashes."""
+    return xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63)
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    return n - int(np.ceil(similarity * n - SLACK)) + 1 if n else 0
 
 
-def _prints(n_words: int):
+def _nodes(n_words: int):
     def run(batches):
         for b in pieces(batches, "t"):
-            prints = [wide_fingerprint(h) for h in shingle_sets(b.column("t"), n_words)]
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("th"), pa.array(prints, pa.binary())], ["k", "th", "w"])
+            nodes = [set_node(h) for h in shingle_sets(b.column("t"), n_words)]
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("th"), pa.array(nodes, pa.int64())], ["k", "th", "node"])
 
     return run
 
 
-def _bytes(col: pa.Array) -> np.ndarray:
-    data, _ = text_bytes(col)
-    return data.reshape(-1, 8 * WORDS)
+def _repeated(n_words: int):
+    """(shingle, n): shingles that some texts of a stretch share, with how many."""
+
+    def counts(held):
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], ["shingle", "n"])
+
+    def run(batches):
+        held, n, seen = [], 0, set()
+        for b in pieces(batches, "t"):
+            for h in shingle_sets(b.column("t"), n_words):
+                if (node := set_node(h)) in seen:
+                    continue
+                seen.add(node)
+                held.append(h)
+                n += len(h)
+                if n >= COUNTED:
+                    yield counts(held)
+                    held, n, seen = [], 0, set()
+        if held:
+            yield counts(held)
+
+    return run
 
 
-def _postings(batches):
-    salt = np.arange(TRIPLES, dtype=np.int64) << 24
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 2048):
-            b = batch.slice(lo, 2048)
-            x = _bytes(b.column("w"))[:, COMBOS].astype(np.int64)
-            key = salt + (x[:, :, 0] << 16 | x[:, :, 1] << 8 | x[:, :, 2])
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(np.asarray(b.column("node")), TRIPLES))], ["key", "node"])
+def common_shingles(texts: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles, sorted, and the rank of each among them, the rarest first. At most COMMON."""
+    found = texts.select("t").mapInArrow(_repeated(n_words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rows = found.where(F.col("n") >= COMMON_FROM).orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    h, n = np.asarray(rows.column("shingle").combine_chunks()).view(np.uint64), np.asarray(rows.column("n").combine_chunks())
+    by_count = np.lexsort((h, n))
+    rank = np.empty(len(h), np.int64)
+    rank[by_count] = np.arange(len(h))
+    by_hash = np.argsort(h)
+    return h[by_hash], rank[by_hash]
 
 
-def _edges(bits: int):
-    """From lists (key, of, part, nodes, prints) to edges (a, b) and, of lists in parts, the hub of each part (b null)."""
+def prefix(h: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set in the global order, so many that a similar set shares one of its own first."""
+    p = prefix_length(len(h), similarity)
+    if not len(common):
+        return h[:p]
+    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+    known = common[at] == h
+    rare = h[~known]
+    if len(rare) >= p:
+        return rare[:p]
+    return np.append(rare, h[known][np.argsort(rank[at[known]])[: p - len(rare)]])
+
+
+def _postings(n_words: int, similarity: float, common):
+    """(key, node, n, at): the prefix of each set; a set that a task meets again is left out."""
 
     def run(batches):
-        for batch in batches:
-            a, b, keys = [], [], []
-            for row in range(batch.num_rows):
-                nodes = np.asarray(batch.column("nodes")[row].values)
-                w = _bytes(batch.column("prints")[row].values).view(np.uint64)
-                d = np.full((len(w), len(w)), 0, np.int64)
-                for k in range(WORDS):
-                    d += np.bitwise_count(w[:, None, k] ^ w[None, :, k])
-                np.fill_diagonal(d, 1 << 20)
-                near = d <= bits
-                close = np.flatnonzero(near.any(1))
-                hub = 0
-                if len(close):
-                    a += nodes[close].tolist()
-                    b += nodes[d.argmin(1)[close]].tolist()
-                    keys += [None] * len(close)
-                    hub = int(near.sum(1).argmax())
-                    left = near.any(1)
-                    while left.any():
-                        top = int((near & left[None, :]).sum(1).argmax())
-                        mine = np.flatnonzero(near[top] & left)
-                        if not len(mine):
-                            break
-                        a += [int(nodes[top])] * len(mine)
-                        b += nodes[mine].tolist()
-                        keys += [None] * len(mine)
-                        left[mine] = left[top] = False
-                if batch.column("of")[row].as_py() > 1:
-                    a.append(int(nodes[hub]))
-                    b.append(None)
-                    keys.append(batch.column("key")[row].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.int64())], ["a", "b", "key"])
+        (known, rank), seen = common.value, set()
+        for b in pieces(batches, "t"):
+            keys, nodes, sizes = [np.zeros(0, np.uint64)], [], []
+            for h in shingle_sets(b.column("t"), n_words):
+                if not len(h) or (node := set_node(h)) in seen:
+                    continue
+                seen.add(node)
+                keys.append(prefix(h, similarity, known, rank))
+                nodes.append(node)
+                sizes.append(len(h))
+            many = np.array([len(k) for k in keys[1:]], np.int64)
+            at = [np.zeros(0, np.int32), *[np.arange(m, dtype=np.int32) for m in many]]
+            columns = [np.concatenate(keys).view(np.int64), np.repeat(np.array(nodes, np.int64), many), np.repeat(np.array(sizes, np.int32), many), np.concatenate(at)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "n", "at"])
 
     return run
 
 
-def candidate_edges(prints: DataFrame, bits: int, most: int = 1024) -> DataFrame:
-    """(a, b) among nodes: edges that the lists leave. prints: (node, w), each fingerprint once."""
-    posts = prints.mapInArrow(_postings, "key long, node long")
-    found = None
-    while True:
-        posts = cut(posts)
-        sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        parts = F.ceil(F.col("n") / most).cast("int")
-        rows = posts.join(sizes.select("key", parts.alias("of")), "key").join(prints, "node")
-        rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("of").cast("long")))
-        lists = rows.groupBy("key", "of", "part").agg(F.collect_list("node").alias("nodes"), F.collect_list("w").alias("prints"))
-        out = cut(lists.mapInArrow(_edges(bits), "a long, b long, key long"))
-        edges = out.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = edges if found is None else found.union(edges)
-        hubs = out.where("b is null").select("key", F.col("a").alias("node"))
-        if hubs.isEmpty():
-            return found.distinct()
-        posts = hubs
+def _may_link(n1, at1, n2, at2, similarity: float):
+    """False where sizes or places rule a pair out, if the list is that of its first common shingle."""
+    shared = np.minimum(n1 - at1, n2 - at2)
+    return (np.minimum(n1, n2) >= similarity * np.maximum(n1, n2) - SLACK) & (shared >= similarity / (1 + similarity) * (n1 + n2) - SLACK)
+
+
+def _pairs(similarity: float):
+    """From postings sorted by key and node to pairs (a, b, key null) and, of lists over LIST, their postings (a, b null, key) too."""
+    names = ("key", "node", "n", "at")
+
+    def pair(x: dict, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = _may_link(x["n"][left], x["at"][left], x["n"][right], x["at"][right], similarity)
+        return x["node"][left[ok]], x["node"][right[ok]]
+
+    def batch(pairs, long_keys, long_nodes):
+        ab = np.unique(np.concatenate([np.stack([np.minimum(a, b), np.maximum(a, b)], 1) for a, b in pairs] or [np.zeros((0, 2), np.int64)]), axis=0)
+        a = pa.array(np.append(ab[:, 0], long_nodes))
+        b = pa.concat_arrays([pa.array(ab[:, 1]), pa.nulls(len(long_nodes), pa.int64())])
+        key = pa.concat_arrays([pa.nulls(len(ab), pa.int64()), pa.array(long_keys)])
+        return pa.RecordBatch.from_arrays([a, b, key], ["a", "b", "key"])
+
+    def run(batches):
+        none = np.zeros(0, np.int64)
+        held = {c: none for c in names}  # the last list so far, or the first posting of a long one
+        long, end = False, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = {c: np.append(held[c], np.asarray(b.column(c)).astype(np.int64)) for c in names}
+            if long:  # postings of the list that goes on; its first one leads
+                more = int(np.searchsorted(x["key"] != x["key"][0], True))
+                nodes = np.append(end, x["node"][1:more])
+                new = 1 + np.flatnonzero(np.diff(nodes) != 0)
+                yield batch([pair(x, np.zeros(len(new), np.int64), new)], x["key"][new], x["node"][new])
+                end = nodes[-1]
+                if more == len(x["key"]):
+                    held = {c: x[c][:1] for c in names}
+                    continue
+                x, long = {c: x[c][more:] for c in names}, False
+            same = np.append(False, (np.diff(x["key"]) == 0) & (np.diff(x["node"]) == 0))
+            x = {c: x[c][~same] for c in names}
+            begins = np.append(np.flatnonzero(np.append(True, np.diff(x["key"]) != 0)), len(x["key"]))
+            size = np.diff(begins)
+            if size[-1] <= LIST:  # may go on in the next batch
+                held = {c: x[c][begins[-2] :] for c in names}
+                begins, size = begins[:-1], size[:-1]
+            else:
+                held, long, end = {c: x[c][begins[-2] : begins[-2] + 1] for c in names}, True, x["node"][-1]
+            lead = np.repeat(begins[:-1], size)
+            many = np.repeat(size, size)
+            i = np.arange(len(lead))
+            in_long = i[many > LIST]
+            pairs = [pair(x, lead[in_long], in_long)]
+            short = i[(many > 1) & (many <= LIST)]
+            stops = lead + many
+            for step in range(1, LIST):
+                short = short[short + step < stops[short]]
+                if not len(short):
+                    break
+                pairs.append(pair(x, short, short + step))
+            yield batch([(a[a != b_], b_[a != b_]) for a, b_ in pairs], x["key"][in_long], x["node"][in_long])
+        if len(held["key"]) > 1 and not long:
+            i, j = np.triu_indices(len(held["key"]), 1)
+            yield batch([pair(held, i, j)], none, none)
+
+    return run
 
 
 def _sets(n_words: int):
@@ -148,29 +217,94 @@ def _sets(n_words: int):
     return run
 
 
-def similar_dedup(docs: DataFrame, similarity: float = 0.8, n_words: int = 5, id_col: str = "doc_id", text_col: str = "text", bits: int = 104, most: int = 1024) -> DataFrame:
+def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of these sets are that similar, as a square of booleans."""
+    size = np.array([len(s) for s in sets])
+    _, of, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    keep = many[of] > 1
+    _, of = np.unique(of[keep], return_inverse=True)
+    by = np.argsort(of, kind="stable")
+    row, of = row[keep][by], of[by]
+    shared = np.zeros((len(sets), len(sets)), np.float32)  # whole numbers below 2^24
+    for lo in range(0, int(of[-1]) + 1 if len(of) else 0, 2048):
+        i = slice(*np.searchsorted(of, [lo, lo + 2048]))
+        x = np.zeros((len(sets), 2048), np.float32)
+        x[row[i], of[i] - lo] = 1
+        shared += x @ x.T
+    shared = shared.astype(np.float64)
+    return shared >= similarity * (size[:, None] + size[None, :] - shared)
+
+
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """(first member, member) for each component of a symmetric square of booleans."""
+    left, out = np.ones(len(near), bool), []
+    for i in range(len(near)):
+        if left[i]:
+            left[i] = False
+            front = np.array([i])
+            while len(front):
+                front = np.flatnonzero(near[front].any(0) & left)
+                left[front] = False
+                out += [(i, j) for j in front.tolist()]
+    return out
+
+
+def _block(similarity: float):
+    def run(table):
+        node = np.asarray(table.column("node").combine_chunks())
+        s = table.column("s").combine_chunks()
+        off, flat = np.asarray(s.offsets), np.asarray(s.values)
+        edges = forest(linked([flat[a:b] for a, b in zip(off[:-1], off[1:])], similarity))
+        a, b = np.array(edges, np.int64).reshape(-1, 2).T
+        return pa.table({"a": node[a], "b": node[b]})
+
+    return run
+
+
+def list_links(posts: DataFrame, sets: DataFrame, similarity: float, most: int) -> DataFrame:
+    """(a, b): a forest of the links of each block of the lists `posts` (key, node, n)."""
+    of = F.ceil(F.col("n") / most).cast("int")
+    rows = posts.select("key", "node", of.alias("of")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("of").cast("long")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("of") - 1))
+    rows = rows.select("key", "node", "part", other.alias("other")).select("key", "node", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    return rows.join(sets, "node").groupBy("key", "i", "j").applyInArrow(_block(similarity), "a long, b long")
+
+
+def similar_dedup(docs: DataFrame, similarity: float = 0.8, n_words: int = 5, id_col: str = "doc_id", text_col: str = "text", most: int = 512) -> DataFrame:
     """The rows of `docs`, of each component of links only that with the smallest id, all columns as they were.
 
     Texts link if their sets of lower-cased `n_words` shingles have a Jaccard similarity of at least `similarity`;
-    texts without words are one group. `bits` is the difference up to which pairs are verified: three
-    standard deviations above what 0.8 gives. Null ids come last; between rows of one id the least text hash stays,
+    texts without words are one group. Null ids come last; between rows of one id the least text hash stays,
     and of rows that repeat both, one.
     """
     last = (1 << 63) - 1
     text = F.col(text_col).cast("string")
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("k"), F.xxhash64(text).alias("th"), text.alias("t"))
-    prints = cut(slim.mapInArrow(_prints(n_words), "k long, th long, w binary"))
-    distinct = cut(prints.groupBy("w").agg(F.min("th").alias("th")).withColumn("node", F.monotonically_increasing_id()))
-    edges = cut(candidate_edges(distinct.select("node", "w"), bits, most))
-    asked = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().join(distinct.select("node", "th"), "node")
+    prints = cut(slim.mapInArrow(_nodes(n_words), "k long, th long, node long"))
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(slim, n_words))
+    posts = slim.select("t").mapInArrow(_postings(n_words, similarity, common), "key long, node long, n int, at int")
+    found = stored(posts.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_pairs(similarity), "a long, b long, key long"))
+    pairs = cut(found.where("b is not null").select("a", "b").distinct())
+    lists = found.where("key is not null").select("key", F.col("a").alias("node"))
+
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(lists.select("node")).distinct()
+    asked = asked.join(prints.groupBy("node").agg(F.min("th").alias("th")), "node")
     texts = slim.select("th", "t").join(asked, "th").dropDuplicates(["node"]).select("node", "t")
-    sets = cut(texts.mapInArrow(_sets(n_words), "node long, s array<long>"))
-    both = edges.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    sets = stored(texts.mapInArrow(_sets(n_words), "node long, s array<long>"))
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    links = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    links = cut(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
     parts = connected_components(links)
-    where = distinct.select("w", "node").join(parts, "node", "left").select("w", F.coalesce("component", "node").alias("part"))
+
+    known = lists.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = known.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    open_lists = cut(lists.join(apart.select("key", "n"), "key"))
+    if not open_lists.isEmpty():
+        parts = connected_components(links.union(cut(list_links(open_lists, sets, similarity, most))))
+
+    where = prints.select("node").distinct().join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part"))
     key, th = spare(docs, "key", "th")
-    lead = prints.join(where, "w").groupBy("part").agg(F.min(F.struct("k", "th")).alias("lead")).select(F.col("lead.k").alias(key), F.col("lead.th").alias(th))
+    lead = prints.join(where, "node").groupBy("part").agg(F.min(F.struct("k", "th")).alias("lead")).select(F.col("lead.k").alias(key), F.col("lead.th").alias(th))
     rows = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(last)), th: F.xxhash64(text)})
     return rows.join(lead, [key, th]).dropDuplicates([key, th]).select(*docs.columns)

@@ -63,3 +63,49 @@ def test_groups_against_brute_force(spark, most):
 
 def test_empty(spark):
     assert S.similar_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def kept(spark, rows, **more):
+    return sorted(r.doc_id for r in S.similar_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), **more).collect())
+
+
+def test_short_and_border_pairs(spark):
+    """Pairs of 8 and 9 words (4 of 5 shingles shared) and of just 0.8 and over: each is found."""
+    r, rows = random.Random(1), []
+    for i in range(300):
+        n = 8 if i < 150 else r.randrange(20, 90)
+        ws = [f"w{i}x{j}" for j in range(n)]
+        more = 1 if n == 8 else int((n - 4) / 0.8 + 1e-9) - (n - 4)
+        rows += [(2 * i, " ".join(ws)), (2 * i + 1, " ".join(ws + [f"more{j}" for j in range(more)]))]
+    assert kept(spark, rows) == list(range(0, 600, 2))
+
+
+@pytest.mark.parametrize("n, changes, most", [(300, (3,), 512), (300, (3,), 64), (60, (2, 3), 512), (40, (2,), 8)])
+def test_large_groups_of_borderline_copies(spark, n, changes, most):
+    """Copies whose links lie between any two of them, not around a hub."""
+    r, rows = random.Random(n), []
+    base = [f"b{j}" for j in range(200)]
+    for i in range(n):
+        c = list(base)
+        for _ in range(r.choice(changes)):
+            c[r.randrange(200)] = f"new{i}x{r.randrange(10**6)}"
+        rows.append((i, " ".join(c)))
+    want = brute(rows)
+    assert 0 < len(want) < n
+    assert kept(spark, rows, most=most) == sorted(want)
+
+
+def test_common_passages_and_batch_seams():
+    """Lists of all lengths, with postings that repeat, cut into batches anywhere: pairs and long lists stay whole."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    sizes = [1, 2, S.LIST, S.LIST + 1, 3, 200, 1, S.LIST, 70]
+    rows = [(k, v, 100, 0) for k, m in enumerate(sizes) for v in np.repeat(np.arange(m) + 1000 * k, r.integers(1, 3, m)).tolist()]
+    pairs = {(1000 * k + i, 1000 * k + j) for k, m in enumerate(sizes) for j in range(m) for i in (range(j) if m <= S.LIST else [0] if j else [])}
+    for step in (1, 7, 33, 50, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows[a : a + step])], ["key", "node", "n", "at"]) for a in range(0, len(rows), step)]
+        got = [t for b in S._pairs(0.8)(batches) for t in b.to_pylist()]
+        assert {(g["a"], g["b"]) for g in got if g["key"] is None} == pairs
+        assert sorted((g["key"], g["a"]) for g in got if g["key"] is not None) == [(k, 1000 * k + i) for k, m in enumerate(sizes) if m > S.LIST for i in range(m)]
