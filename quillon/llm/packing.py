@@ -7,6 +7,9 @@ a new one, for all packs of one pattern at once, which keeps a count for each pa
 (after Krell et al., "Efficient Sequence Packing without Cross-contamination", 2021). Patterns become
 ranges of ranks for each length, a table that is bounded by `size` and not by the
 corpus. Pieces get a rank among those of their length and join their range.
+
+`pack_ordered` keeps an order of documents: spans of consecutive documents are packed in the same way, each in
+its task, and sequences are numbered span by span, so that a prefix of the sequences is a prefix of the documents but for one span.
 """
 
 from __future__ import annotations
@@ -18,11 +21,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import pre_tokenizers
 
-from quillon.llm.common import cut, pieces, ranked
+from quillon.llm.common import cut, pieces, ranked, stored
 
 #: How byte-level BPE vocabularies of this family split a text before merging (a fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -168,3 +172,70 @@ def pack_documents(docs: DataFrame, path: str | None = None, size: int = 1024, i
     id is kept. Sequences are padded to `size` by whoever reads them, except at a power of two.
     """
     return pack(cut_pieces(docs, path or tokenizer_path(), size, id_col, text_col), size)
+
+
+def numbered(docs: DataFrame, at: str) -> DataFrame:
+    """Adds `at`: the place of each row in the order of `docs`, from 0.
+
+    That of files and of rows in them if `docs` is a table just read, which Spark may read in any order; any other frame is stored first.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.nodeName() != "LogicalRelation" or not docs.inputFiles():
+        docs = stored(docs)
+    path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    part = F.regexp_extract(F.regexp_extract(path, "[^/]*$", 0), r"^part-(\d+)", 1)
+    rows = docs.select("*", path.alias("file__"), row.alias("row__"))
+    sizes = docs.select(path.alias("f__"), row.alias("row__"), F.coalesce(F.nullif(part, F.lit("")).cast("long"), F.lit(-1)).alias("part__"))
+    sizes = sizes.groupBy("f__", "part__").agg((F.max("row__") + 1).alias("size__"))
+    before = Window.orderBy("part__", "f__").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    first = sizes.select("f__", F.coalesce(F.sum("size__").over(before), F.lit(0)).alias("first__"))
+    return rows.join(F.broadcast(first), F.col("file__") == F.col("f__")).select(*docs.columns, (F.col("first__") + F.col("row__")).cast("long").alias(at))
+
+
+def _pack_span(size: int):
+    """Adds sequence (from 0, by the first document in it) and offset to the pieces of a span."""
+
+    def run(table: pa.Table) -> pa.Table:
+        length, at, start = (np.asarray(table.column(c).combine_chunks()) for c in ("length", "at", "start"))
+        order = np.lexsort((start, at, length))
+        lengths, begins, many = np.unique(length[order], return_index=True, return_counts=True)
+        left = dict(zip(lengths.tolist(), begins.tolist()))
+        sequence, offset, first = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64), 0
+        for pattern, count in shortest_pack_first(dict(zip(lengths.tolist(), many.tolist())), size):
+            filled = 0
+            for n_ids, n in pattern:
+                own = order[left[n_ids] : left[n_ids] + n * count]
+                left[n_ids] += n * count
+                k = np.arange(n * count)
+                sequence[own], offset[own] = first + k // n, filled + k % n * n_ids
+                filled += n_ids * n
+            first += count
+        lead = np.full(first, np.iinfo(np.int64).max)
+        np.minimum.at(lead, sequence, at)
+        place = np.empty(first, np.int64)
+        place[np.argsort(lead, kind="stable")] = np.arange(first)
+        return table.append_column("sequence", pa.array(place[sequence])).append_column("offset", pa.array(offset))
+
+    return run
+
+
+def pack_ordered(parts: DataFrame, size: int = 1024, span_docs: int = 1024) -> DataFrame:
+    """`parts` (at, start, length, ...) with sequence_id and offset, without `at`: documents `at` in spans, one after the other."""
+    rows = parts.withColumn("span", F.floor(F.col("at") / span_docs).cast("long"))
+    kind = T.StructType([*rows.schema.fields])
+    for c in ("sequence", "offset"):
+        kind = kind.add(c, "long")
+    packed = cut(rows.groupBy("span").applyInArrow(_pack_span(size), kind))
+    sizes = packed.groupBy("span").agg((F.max("sequence") + 1).alias("size"))
+    before = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)  # one row for each span
+    first = sizes.select("span", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
+    names = [c for c in parts.columns if c != "at"]
+    return packed.join(first, "span").select(*names, (F.col("first") + F.col("sequence")).alias("sequence_id"), "offset")
+
+
+def pack_documents_ordered(docs: DataFrame, path: str | None = None, size: int = 1024, id_col: str = "doc_id", text_col: str = "text", span_docs: int = 1024) -> DataFrame:
+    """As `pack_documents`, with sequences in the order of the rows of `docs`."""
+    rows = numbered(docs, "at__")
+    rows = rows.select(F.struct(F.col(id_col).alias("id"), F.col("at__").alias("at")).alias("id"), F.col(text_col).alias("text"))
+    parts = cut_pieces(rows, path or tokenizer_path(), size, "id", "text")
+    return pack_ordered(parts.select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.at").alias("at"), *parts.columns[1:]), size, span_docs)

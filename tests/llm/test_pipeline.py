@@ -85,3 +85,29 @@ def test_packing_against_the_tokenizer(steps):
 
 def test_run(spark, steps):
     assert C.run(spark, SF).count() == steps["packing"].count()
+
+
+def test_packed_prefixes_hold_the_weights(spark, tmp_path):
+    """What mixing decides shows in the packed sequences: each prefix has the target shares but for one span of 1,024 documents."""
+    rows = [(i, " ".join([f"w{i}"] * (5 + i * 7919 % 40)), "en", f"s{i % 4}") for i in range(16_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    stages = dict(C.STAGES)
+    stages["mixing"](spark, docs, SF).write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    got = stages["packing"](spark, mixed, SF).orderBy("sequence_id", "offset").collect()
+    assert Counter(g.doc_id for g in got if g.start == 0) == Counter(range(16_000))
+    seen = Counter()
+    for n, g in enumerate((g for g in got if g.start == 0), 1):
+        seen[g.doc_id % 4] += 1
+        if n <= 9_000:  # the last source, 4 of 10 shares, has 4,000 documents
+            assert all(abs(seen[s] - n * (s + 1) / 10) <= 300 for s in range(4)), (n, seen)
+    assert len({g.sequence_id for g in got}) == 1 + max(g.sequence_id for g in got)
+    fill = Counter()
+    for g in got:
+        assert g.offset == fill[g.sequence_id]
+        fill[g.sequence_id] += g.length
+    assert max(fill.values()) <= 1024 and sum(fill.values()) > 0.99 * 1024 * len(fill)
+    # the order comes from the files, not from the documents
+    other = stages["packing"](spark, docs.orderBy("doc_id"), SF)
+    first = [r.doc_id for r in other.where("sequence_id = 0").collect()]
+    assert max(first) < 1024
