@@ -1,16 +1,11 @@
-"""Embedding near-dedup by sorted projection passes.
-
-A pass draws random hyperplanes and gives each vector the bits of the sides it lies on. Vectors
-are sorted by label and these concatenated bits, lexicographically, in ranges over the
-cluster, and each is compared in double precision with its next `window` neighbours; near
-vectors share long prefixes in some pass and stand close there. A task reads its range as
-a stream and holds one slab and the last `window` rows. Verified pairs leave as
-edges from the first member of their component in the slab, never all pairs, and are united over all passes.
-
-The passes find the components. The number of links is then counted exactly within
-each: a component's members are ordered by their angle to a pivot and compared block by block, where
-the triangle inequality leaves blocks out that can't hold a link; only counts
-leave a task. Equal vectors of a label are one vector with a multiplicity throughout.
+"""Embedding near-dedup by exact comparison in blocks.
+
+The vectors of a label are ordered by their angle to a pivot and compared block by block in double precision,
+where the triangle inequality leaves blocks out that can't hold a link. Each pair that can be a link is seen, whatever its
+neighbourhood. From a task leave its vectors' numbers of links, and its links as a forest, never all
+pairs; forests are united to components. Equal vectors of a label are one vector with a multiplicity throughout.
+
+A dense label of m vectors costs up to m^2 / 2 dot products, since the result asks for each vector's exact number of links.
 """
 
 from __future__ import annotations
@@ -21,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import connected_components, cut, ranked
+from quillon.llm.similar import forest
 
 BLOCK = 2048
 
@@ -31,94 +27,8 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _planes(seed: int, dim: int, bits: int) -> np.ndarray:
-    return np.random.default_rng([seed, dim]).normal(size=(dim, bits))
-
-
-def _keys(passes: list[int], bits: int):
-    """Each vector once for each pass, with its bits as a number that sorts like them."""
-
-    def run(batches):
-        for b in batches:
-            dims = np.asarray(b.column("dim"))
-            for dim in np.unique(dims):
-                part = b.filter(pa.array(dims == dim))
-                x = _matrix(part.column("v"))
-                for p in passes:
-                    side = (x @ _planes(p, int(dim), bits) > 0).astype(np.uint8)
-                    key = np.packbits(side, axis=1).view(">u8")[:, 0].astype(np.uint64) ^ np.uint64(1 << 63)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, np.int32)), *[part.column(c) for c in ("label", "dim", "id", "v")], pa.array(key.view(np.int64))], ["pass", "label", "dim", "id", "v", "key"])
-
-    return run
-
-
-def _forest(near_a: np.ndarray, near_b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """(first member, member) for each component of the pairs."""
-    part = np.arange(n)
-
-    def root(i: int) -> int:
-        while part[i] != i:
-            part[i] = part[part[i]]
-            i = part[i]
-        return i
-
-    for a, b in zip(near_a.tolist(), near_b.tolist()):
-        a, b = root(a), root(b)
-        if a != b:
-            part[max(a, b)] = min(a, b)
-    return [(r, i) for i in range(n) if (r := root(i)) != i]
-
-
-def _neighbours(least: float, window: int, slab: int):
-    """Compares each row of a sorted stream with the `window` rows before it."""
-
-    def compare(part: pa.Table) -> pa.RecordBatch:
-        a, b = [], []
-        ids = np.asarray(part.column("id").combine_chunks())
-        group = [np.asarray(part.column(c).combine_chunks()) for c in ("pass", "label", "dim")]
-        edge = np.append(np.flatnonzero(np.any([np.diff(g, prepend=g[0] - 1) != 0 for g in group], axis=0)), len(ids))
-        for lo, hi in zip(edge[:-1], edge[1:]):
-            if hi - lo < 2:
-                continue
-            x = _matrix(part.column("v").slice(lo, hi - lo).combine_chunks())
-            near_a, near_b = [], []
-            for step in range(1, min(window, hi - lo - 1) + 1):
-                i = np.flatnonzero(np.einsum("ij,ij->i", x[:-step], x[step:]) >= least)
-                near_a.append(i)
-                near_b.append(i + step)
-            for r, i in _forest(np.concatenate(near_a), np.concatenate(near_b), hi - lo):
-                a.append(ids[lo + r])
-                b.append(ids[lo + i])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    def run(batches):
-        held, n = [], 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= slab + window:
-                part = pa.Table.from_batches(held)
-                yield compare(part)
-                held, n = part.slice(n - window).combine_chunks().to_batches(), window
-        if n:
-            yield compare(pa.Table.from_batches(held))
-
-    return run
-
-
-def near_edges(vectors: DataFrame, least: float, passes: int = 12, window: int = 24, bits: int = 64, at_once: int = 4, slab: int = 4096) -> DataFrame:
-    """(a, b): edges with the components of the links that `passes` sorted passes find. vectors: id, label, dim, v."""
-    found = None
-    for lo in range(0, passes, at_once):
-        keyed = vectors.mapInArrow(_keys(list(range(lo, min(lo + at_once, passes))), bits), "pass int, label long, dim int, id long, v array<double>, key long")
-        order = ["pass", "label", "dim", "key", "id"]
-        edges = cut(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(least, window, slab), "a long, b long"))
-        found = edges if found is None else found.union(edges)
-    return found
-
-
 def _count_in_component(least: float):
-    """Links of each row of block i to the rows of block j, weighted by multiplicity; both ways if i < j."""
+    """Links of each row of block i to the rows of block j, weighted by multiplicity, both ways if i < j; and a forest (id, other) of the links."""
 
     def run(key, table):
         i, j = key[1].as_py(), key[2].as_py()
@@ -130,13 +40,20 @@ def _count_in_component(least: float):
         if i != j:
             out_id.append(ids[b])
             out_n.append(near.T @ many[a])
-        return pa.table({"id": np.concatenate(out_id), "n": np.concatenate(out_n)})
+        both = np.zeros((len(x), len(x)), bool)
+        both[np.ix_(a, b)] = near
+        edges = np.array(forest(both | both.T), np.int64).reshape(-1, 2)
+        out_id.append(ids[edges[:, 0]])
+        out_n.append(np.zeros(len(edges), np.int64))
+        n = sum(map(len, out_id)) - len(edges)
+        other = pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(ids[edges[:, 1]])])
+        return pa.table({"id": np.concatenate(out_id), "n": np.concatenate(out_n), "other": other})
 
     return run
 
 
 def count_links(members: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """(id, n): exact links within each component, itself included. members: id, component, v, many.
+    """(id, n, other): exact links within each component, itself included, to be summed; where `other` is not null, an edge. members: id, component, v, many.
 
     Rank goes by the angle to the component's first vector; angles of linked vectors differ by arccos(least)
     at most, so a block meets only the blocks whose ranges of angles come that close.
@@ -145,7 +62,7 @@ def count_links(members: DataFrame, least: float, block: int = BLOCK) -> DataFra
     members = members.join(size, "component")
     small = members.where(F.col("size") <= block).withColumns({"block": F.lit(0), "i": F.lit(0), "j": F.lit(0)})
     large = cut(members.where(F.col("size") > block))
-    kind = "id long, n long"
+    kind = "id long, n long, other long"
     counted = small.groupBy("component", "i", "j").applyInArrow(_count_in_component(least), kind)
     if large.isEmpty():
         return counted
@@ -169,7 +86,7 @@ def count_links(members: DataFrame, least: float, block: int = BLOCK) -> DataFra
     return counted.union(more)
 
 
-def near_dedup(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", passes: int = 12, window: int = 24, block: int = BLOCK) -> DataFrame:
+def near_dedup(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", block: int = BLOCK) -> DataFrame:
     """(id_col, n_links, component_id, kept), one row for each row of `vectors`.
 
     Rows link if their labels are equal and not null, their vectors equally long, and the cosine is at
@@ -188,10 +105,11 @@ def near_dedup(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id",
     good = rows.where("v is not null")
     # one row for each distinct vector of a label: `id` stands for it in what follows
     distinct = cut(good.groupBy("label", "v").agg(F.count(F.lit(1)).alias("many"), F.min("id").alias("least")).withColumns({"dim": F.size("v"), "id": F.monotonically_increasing_id()}))
-    parts = cut(connected_components(near_edges(distinct.select("id", "label", "dim", "v"), least, passes, window)))
+    whole = distinct.groupBy("label", "dim").agg(F.min("id").alias("component"))
+    found = cut(count_links(distinct.join(whole, ["label", "dim"]).select("id", "component", "v", "many"), least, block))
+    links = found.groupBy("id").agg(F.sum("n").alias("n"))
+    parts = cut(connected_components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))))
     joined = distinct.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    members = joined.join(parts.select("component").distinct(), "component", "left_semi")
-    links = count_links(members.select("id", "component", "v", "many"), least, block).groupBy("id").agg(F.sum("n").alias("n"))
     lowest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     known = joined.join(links, "id", "left").join(lowest, "component").select(F.col("label").alias("l"), F.col("v").alias("w"), (F.coalesce("n", "many") - 1).alias("n_links"), "component_id")
     out = rows.join(known, (F.col("label") == F.col("l")) & (F.col("v") == F.col("w")), "left")

@@ -81,3 +81,24 @@ def test_recall_on_the_whole_table(spark):
     found = got.loc[known.vec_id].to_numpy()
     assert (found <= want).all() and found.sum() >= 0.98 * want.sum()
     assert ((found > 0) == (want > 0)).mean() > 0.998
+
+
+@pytest.mark.parametrize("block", [2048, 512])
+def test_links_in_a_dense_label(spark, block):
+    """Partners at cosine 0.981 among vectors of pairwise cosine near 0.95, which are no links: every link counts."""
+    r = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre, off = unit(r.normal(size=64)), r.normal(size=(1000, 64))
+    off = unit(off - (off @ centre)[:, None] * centre)
+    base = np.sqrt(0.95) * centre + np.sqrt(0.05) * off
+    turn = r.normal(size=base.shape)
+    turn = unit(turn - (turn * base).sum(1)[:, None] * base)
+    x = np.concatenate([base, 0.981 * base + np.sqrt(1 - 0.981**2) * turn])
+    x = x[r.permutation(len(x))]
+    near = unit(x) @ unit(x).T >= LEAST
+    part = np.arange(len(x))
+    while (new := np.where(near, part[None, :], len(x)).min(1)).tolist() != part.tolist():
+        part = new
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = sorted(map(tuple, V.near_dedup(df, block=block).collect()))
+    assert got == [(i, int(near[i].sum()) - 1, int(part[i]), bool(part[i] == i)) for i in range(len(x))]
