@@ -1,18 +1,23 @@
-"""Near-dedup at a stated Jaccard similarity, exactly, by prefix filtering.
+"""Near-dedup at a stated Jaccard similarity, exactly: prefix filtering, parity fingerprints with a count filter, verification.
 
 A text is the set of its distinct word shingles, kept in one global order. Two sets of n and m shingles whose
 Jaccard similarity is t or more share one among the first n - ceil(t n) + 1 of the one and the first
 m - ceil(t m) + 1 of the other (Chaudhuri et al., 2006), so these prefixes are the posting lists and no pair is missed. Sizes
-and places in the sets rule most pairs of a list out (Xiao et al., "PPJoin", 2008); what is left is
-verified by the exact similarity of the sets.
+and places in the sets rule most pairs of a list out (Xiao et al., "PPJoin", 2008).
+
+What is left meets the count filter. A set's fingerprint holds in bit i whether the number of its hashes that end in i is odd.
+Each shingle that only one of two sets has changes one bit at most, so similar sets differ in no more than
+(n + m) (1 - t) / (1 + t) bits (Sandes et al., "Bitmap filter", 2020): a bound that SimHash's majorities don't have. A fingerprint
+has two to four bits a shingle and folds to shorter ones, so sets of any size compare. Survivors are verified by their sets.
 
 Any order is right; rare shingles first keeps lists short. Shingles that batches hold repeatedly are counted, and
 the most frequent of them go behind all others, which go by their hash.
 
-A list of up to `LIST` texts yields all its pairs. In a longer one each text is verified with
-the list's first text, which unites what lies around one original. Lists that are still of more than one
-component after that are compared whole, in blocks of parts of `most` texts, and leave a forest of the
-links of each block.
+Postings travel packed, as one string for each bucket of keys from each million of a task's. A list of up to `LIST` texts
+yields all its pairs. In a longer one each text is paired with the list's first text, which unites what lies around one
+original; where a task alone has so many, it pairs them itself and sends on the first only, so a list that all documents stand in
+is never gathered. Long lists that are still of more than one component after that are compared whole, in blocks of parts of
+`most` texts, and leave a forest of the links of each block.
 """
 
 from __future__ import annotations
@@ -23,31 +28,66 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import connected_components, cut, joined, pieces, spare, stored, text_bytes, words
+from quillon.llm.common import connected_components, cut, pieces, spare, stored, text_bytes, words
 from quillon.llm.simhash import FOLD, SEED
 
 LIST = 32
 #: How many shingles are ordered by how frequent they are, at most, and from what count on.
 COMMON, COMMON_FROM = 1 << 16, 16
-#: Shingles that are counted together before those seen once are left out.
-COUNTED = 1 << 20
+#: Shingles that are counted together before those seen once are left out; postings that are packed together, and that a bucket holds on average.
+COUNTED, PACKED, BUCKET = 1 << 20, 1 << 20, 1 << 19
+#: A posting's key has its bucket, of up to MOST_BUCKETS bits, and KEY_BITS more; a fingerprint has up to MOST_BITS.
+KEY_BITS, MOST_BUCKETS, MOST_BITS = 40, 22, 1 << 16
+#: Sets of nodes of up to so many rows (24 bytes each) are broadcast to where the texts are; beyond that both sides are shuffled.
+BROADCAST_ROWS = 1 << 20
 SLACK = 1e-9  # of comparisons that only rule pairs out
+LONG_WORD = 256
+LOW = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+#: Odd multipliers by a word's place in its shingle.
+PLACE = np.array([xxhash.xxh64_intdigest(bytes([k]), SEED) | 1 for k in range(64)], np.uint64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits that spreads each bit over all."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return x ^ (x >> np.uint64(32))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of each word's bytes, eight at a time for all words together."""
+    raw = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", raw.data, 0, (1,))  # the eight bytes from any byte on
+    size = ends - starts
+    h = mixed(size.astype(np.uint64))
+    left = np.flatnonzero(size <= LONG_WORD)
+    for at in range(0, LONG_WORD, 8):
+        left = left[size[left] > at]
+        if not len(left):
+            break
+        h[left] = mixed(h[left] ^ (eight[starts[left] + at] & LOW[np.minimum(size[left] - at, 8)]))
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), SEED)
+    return h
 
 
 def shingle_sets(col: pa.Array, n_words: int):
     """For each text the sorted distinct hashes of its lower-cased shingles; a shorter text is one shingle, no words are none."""
     data, off = text_bytes(col)
     starts, ends, at = words(data, off)
-    buf, pos = joined(FOLD[data], starts, ends)
-    raw, digest = buf.tobytes(), xxhash.xxh64_intdigest
-    for i in range(len(col)):
-        a, b = int(at[i]), int(at[i + 1])
-        if a == b:
+    w = word_hashes(FOLD[data], starts, ends)
+    n = max(0, len(w) - n_words + 1)
+    whole = np.full(n, n_words, np.uint64)
+    for k in range(n_words if n else 0):
+        whole += w[k : k + n] * PLACE[k]
+    whole = mixed(whole)
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        if b - a >= n_words:
+            yield np.unique(whole[a : b - n_words + 1])
+        elif a < b:
+            yield mixed((w[a:b] * PLACE[: b - a]).sum(keepdims=True) + np.uint64(b - a))
+        else:
             yield np.zeros(0, np.uint64)
-            continue
-        k = min(n_words, b - a)
-        lo, hi = pos[a : b - k + 1].tolist(), (pos[a + k : b + 1] - 1).tolist()
-        yield np.unique(np.fromiter((digest(raw[x:y], SEED) for x, y in zip(lo, hi)), np.uint64, len(lo)))
 
 
 def set_node(h: np.ndarray) -> int:
@@ -59,43 +99,61 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - int(np.ceil(similarity * n - SLACK)) + 1 if n else 0
 
 
-def _nodes(n_words: int):
-    def run(batches):
-        for b in pieces(batches, "t"):
-            nodes = [set_node(h) for h in shingle_sets(b.column("t"), n_words)]
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("th"), pa.array(nodes, pa.int64())], ["k", "th", "node"])
+def parities(h: np.ndarray) -> bytes:
+    """Bit i: whether an odd number of hashes ends in i."""
+    bits = min(MOST_BITS, max(64, 1 << (2 * len(h) - 1).bit_length()))
+    return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two fingerprints differ, the longer one folded to the shorter one's length."""
+    if len(a) != len(b):
+        a, b = sorted((a, b), key=len)
+        b = np.bitwise_xor.reduce(np.frombuffer(b, np.uint8).reshape(-1, len(a)), 0).tobytes()
+    return (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count()
 
-    return run
 
+def _first_pass(n_words: int, similarity: float):
+    """For each text (k, th, node, n, p, bits), bits where a stretch of texts has the node first; and (shingle, many) of those that texts of a stretch share."""
+    names = ["k", "th", "node", "n", "p", "bits", "shingle", "many"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
 
-def _repeated(n_words: int):
-    """(shingle, n): shingles that some texts of a stretch share, with how many."""
+    def batch(columns, n):
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, kinds)], names)
 
     def counts(held):
         h, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], ["shingle", "n"])
+        return batch({"shingle": h[n > 1].view(np.int64), "many": n[n > 1]}, int((n > 1).sum()))
 
     def run(batches):
-        held, n, seen = [], 0, set()
+        held, total, seen = [], 0, set()
         for b in pieces(batches, "t"):
+            nodes, sizes, bits = [], [], []
             for h in shingle_sets(b.column("t"), n_words):
-                if (node := set_node(h)) in seen:
-                    continue
-                seen.add(node)
-                held.append(h)
-                n += len(h)
-                if n >= COUNTED:
-                    yield counts(held)
-                    held, n, seen = [], 0, set()
+                nodes.append(set_node(h))
+                sizes.append(len(h))
+                bits.append(None)
+                if nodes[-1] not in seen:
+                    seen.add(nodes[-1])
+                    bits[-1] = parities(h)
+                    held.append(h)
+                    total += len(h)
+            yield batch({"k": b.column("k"), "th": b.column("th"), "node": nodes, "n": sizes, "p": [prefix_length(n, similarity) for n in sizes], "bits": bits}, len(nodes))
+            if total >= COUNTED:
+                yield counts(held)
+                held, total, seen = [], 0, set()
         if held:
             yield counts(held)
 
     return run
 
 
-def common_shingles(texts: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+FIRST_PASS = "k long, th long, node long, n int, p int, bits binary, shingle long, many long"
+
+
+def common_shingles(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles, sorted, and the rank of each among them, the rarest first. At most COMMON."""
-    found = texts.select("t").mapInArrow(_repeated(n_words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = first.where("shingle is not null").groupBy("shingle").agg(F.sum("many").alias("n"))
     rows = found.where(F.col("n") >= COMMON_FROM).orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
     h, n = np.asarray(rows.column("shingle").combine_chunks()).view(np.uint64), np.asarray(rows.column("n").combine_chunks())
     by_count = np.lexsort((h, n))
@@ -118,92 +176,155 @@ def prefix(h: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarra
     return np.append(rare, h[known][np.argsort(rank[at[known]])[: p - len(rare)]])
 
 
-def _postings(n_words: int, similarity: float, common):
-    """(key, node, n, at): the prefix of each set; a set that a task meets again is left out."""
+
+def _may_link(n1, at1, n2, at2, similarity: float):
+    """False where sizes or places rule a pair out, if the list is that of its first common shingle. Saturated sizes and places never do."""
+    shared = np.minimum(n1 - at1, n2 - at2)
+    ok = (np.minimum(n1, n2) >= similarity * np.maximum(n1, n2) - SLACK) & (shared >= similarity / (1 + similarity) * (n1 + n2) - SLACK)
+    return ok | (n1 >= N_MAX) | (n2 >= N_MAX)
+
+
+#: Sizes and places are sent as 16 bits; places have 15, and the bit above says that the posting stands for a long list.
+N_MAX, AT_MAX, STANDS = (1 << 16) - 1, (1 << 15) - 1, 1 << 15
+POSTING = np.dtype([("low", "<u4"), ("high", "u1"), ("node", "<i8"), ("n", "<u2"), ("at", "<u2")])
+
+
+def lists_of(x: dict, similarity: float):
+    """Postings sorted by key and node, each once, to pairs (a, b), members of long lists (key, node), and the postings that stand for a list to others.
+
+    Short lists stay as they are, of long ones the first posting stays.
+    """
+    begins = np.append(np.flatnonzero(np.append(True, np.diff(x["key"]) != 0)), len(x["key"]))
+    size = np.diff(begins)
+    long = (size > LIST) | np.logical_or.reduceat(x["stands"], begins[:-1])
+    of_long = np.repeat(long, size)
+    lead = np.repeat(begins[:-1], size)
+    i = np.arange(len(lead))
+
+    def pair(left, right):
+        ok = _may_link(x["n"][left], x["at"][left], x["n"][right], x["at"][right], similarity) & (x["node"][left] != x["node"][right])
+        return x["node"][left[ok]], x["node"][right[ok]]
+
+    star = pair(lead[of_long], i[of_long])
+    stops = lead + np.repeat(size, size)
+
+    def short_pairs():
+        some, out = i[~of_long & (np.repeat(size, size) > 1)], []
+        for step in range(1, LIST):
+            some = some[some + step < stops[some]]
+            if not len(some):
+                break
+            out.append(pair(some, some + step))
+        return out
+
+    keep = ~of_long | (i == lead)
+    stands = of_long & (i == lead)
+    return star, short_pairs, (x["key"][of_long], x["node"][of_long]), keep, stands
+
+
+def _postings(n_words: int, similarity: float, common, bits: int):
+    """(bucket, kind, data): postings packed by bucket (kind 0), and of lists that are long in this task pairs (1) and members (2)."""
+
+    def pack(held, turn):
+        key, node, n, at = (np.concatenate(c) for c in zip(*held))
+        # a hash's low bits are the bucket and its high bits the key there, which is enough: what meets by chance is ruled out later
+        key = ((key << np.uint64(64 - bits)) >> np.uint64(24 - bits)) | (key >> np.uint64(24))
+        x = {"key": key.view(np.int64), "node": node, "n": np.minimum(n, N_MAX), "at": np.minimum(at, AT_MAX), "stands": np.zeros(len(key), bool)}
+        order = np.lexsort((x["node"], x["key"]))
+        x = {c: v[order] for c, v in x.items()}
+        star, _, members, keep, stands = lists_of(x, similarity)
+        out = np.empty(int(keep.sum()), POSTING)
+        key = x["key"][keep]
+        out["low"], out["high"], out["node"], out["n"] = key & 0xFFFFFFFF, (key >> 32) & 0xFF, x["node"][keep], x["n"][keep]
+        out["at"] = x["at"][keep] | np.where(stands[keep], STANDS, 0)
+        bucket = key >> KEY_BITS
+        begins = np.append(np.flatnonzero(np.append(True, np.diff(bucket) != 0)), len(bucket))
+        rows = [(int(bucket[a]), 0, out[a:b].tobytes()) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())]
+        for kind, (a, b) in ((1, star), (2, members)):
+            for lo in range(0, len(a), 1 << 14):  # anywhere: they need no list any more
+                rows.append(((turn + len(rows)) * 7919 % (1 << bits), kind, np.stack([a[lo : lo + (1 << 14)], b[lo : lo + (1 << 14)]]).astype("<i8").tobytes()))
+        for lo in range(0, len(rows), 64):
+            part = list(zip(*rows[lo : lo + 64]))
+            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.int8()), pa.array(part[2], pa.binary())], ["bucket", "kind", "data"])
 
     def run(batches):
         (known, rank), seen = common.value, set()
+        held, total, turn = [], 0, 0
         for b in pieces(batches, "t"):
-            keys, nodes, sizes = [np.zeros(0, np.uint64)], [], []
             for h in shingle_sets(b.column("t"), n_words):
                 if not len(h) or (node := set_node(h)) in seen:
                     continue
                 seen.add(node)
-                keys.append(prefix(h, similarity, known, rank))
-                nodes.append(node)
-                sizes.append(len(h))
-            many = np.array([len(k) for k in keys[1:]], np.int64)
-            at = [np.zeros(0, np.int32), *[np.arange(m, dtype=np.int32) for m in many]]
-            columns = [np.concatenate(keys).view(np.int64), np.repeat(np.array(nodes, np.int64), many), np.repeat(np.array(sizes, np.int32), many), np.concatenate(at)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "n", "at"])
+                keys = prefix(h, similarity, known, rank)
+                m = len(keys)
+                held.append((keys, np.full(m, node, np.int64), np.full(m, len(h), np.int64), np.arange(m)))
+                total += m
+                if total >= PACKED:
+                    yield from pack(held, turn)
+                    held, total, turn, seen = [], 0, turn + total, set()
+        if held:
+            yield from pack(held, turn)
 
     return run
 
 
-def _may_link(n1, at1, n2, at2, similarity: float):
-    """False where sizes or places rule a pair out, if the list is that of its first common shingle."""
-    shared = np.minimum(n1 - at1, n2 - at2)
-    return (np.minimum(n1, n2) >= similarity * np.maximum(n1, n2) - SLACK) & (shared >= similarity / (1 + similarity) * (n1 + n2) - SLACK)
+def unpacked(bucket: int, strings: list[bytes]) -> dict:
+    """The postings of a bucket, sorted by key and node, each once."""
+    rows = np.frombuffer(b"".join(strings), POSTING)
+    key = (np.int64(bucket) << KEY_BITS) | (rows["high"].astype(np.int64) << 32) | rows["low"]
+    stands = rows["at"] >= STANDS
+    order = np.lexsort((~stands, rows["node"], key))  # one that stands for a list goes before its equal
+    x = {"key": key[order], "node": rows["node"][order], "n": rows["n"][order].astype(np.int64), "at": (rows["at"] & AT_MAX)[order].astype(np.int64), "stands": stands[order]}
+    new = np.append(True, (np.diff(x["key"]) != 0) | (np.diff(x["node"]) != 0))
+    return {c: v[new] for c, v in x.items()}
 
 
 def _pairs(similarity: float):
-    """From postings sorted by key and node to pairs (a, b, key null) and, of lists over LIST, their postings (a, b null, key) too."""
-    names = ("key", "node", "n", "at")
-
-    def pair(x: dict, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ok = _may_link(x["n"][left], x["at"][left], x["n"][right], x["at"][right], similarity)
-        return x["node"][left[ok]], x["node"][right[ok]]
+    """From packed postings, sorted by bucket, to pairs (a, b, key null) and, of lists over LIST, their members (a, b null, key)."""
 
-    def batch(pairs, long_keys, long_nodes):
+    def batch(pairs, keys, nodes):
         ab = np.unique(np.concatenate([np.stack([np.minimum(a, b), np.maximum(a, b)], 1) for a, b in pairs] or [np.zeros((0, 2), np.int64)]), axis=0)
-        a = pa.array(np.append(ab[:, 0], long_nodes))
-        b = pa.concat_arrays([pa.array(ab[:, 1]), pa.nulls(len(long_nodes), pa.int64())])
-        key = pa.concat_arrays([pa.nulls(len(ab), pa.int64()), pa.array(long_keys)])
+        a = pa.array(np.append(ab[:, 0], nodes))
+        b = pa.concat_arrays([pa.array(ab[:, 1]), pa.nulls(len(nodes), pa.int64())])
+        key = pa.concat_arrays([pa.nulls(len(ab), pa.int64()), pa.array(keys)])
         return pa.RecordBatch.from_arrays([a, b, key], ["a", "b", "key"])
 
+    none = np.zeros(0, np.int64)
+
+    def whole(bucket, strings):
+        star, short_pairs, members, _, _ = lists_of(unpacked(bucket, strings), similarity)
+        return batch([star, *short_pairs()], *members)
+
     def run(batches):
-        none = np.zeros(0, np.int64)
-        held = {c: none for c in names}  # the last list so far, or the first posting of a long one
-        long, end = False, 0
+        now, strings = None, []
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = {c: np.append(held[c], np.asarray(b.column(c)).astype(np.int64)) for c in names}
-            if long:  # postings of the list that goes on; its first one leads
-                more = int(np.searchsorted(x["key"] != x["key"][0], True))
-                nodes = np.append(end, x["node"][1:more])
-                new = 1 + np.flatnonzero(np.diff(nodes) != 0)
-                yield batch([pair(x, np.zeros(len(new), np.int64), new)], x["key"][new], x["node"][new])
-                end = nodes[-1]
-                if more == len(x["key"]):
-                    held = {c: x[c][:1] for c in names}
+            for bucket, kind, data in zip(b.column("bucket").to_pylist(), b.column("kind").to_pylist(), b.column("data")):
+                data = data.as_py()
+                if kind:
+                    x, y = np.frombuffer(data, "<i8").reshape(2, -1)
+                    yield batch([(x, y)], none, none) if kind == 1 else batch([], x, y)
                     continue
-                x, long = {c: x[c][more:] for c in names}, False
-            same = np.append(False, (np.diff(x["key"]) == 0) & (np.diff(x["node"]) == 0))
-            x = {c: x[c][~same] for c in names}
-            begins = np.append(np.flatnonzero(np.append(True, np.diff(x["key"]) != 0)), len(x["key"]))
-            size = np.diff(begins)
-            if size[-1] <= LIST:  # may go on in the next batch
-                held = {c: x[c][begins[-2] :] for c in names}
-                begins, size = begins[:-1], size[:-1]
-            else:
-                held, long, end = {c: x[c][begins[-2] : begins[-2] + 1] for c in names}, True, x["node"][-1]
-            lead = np.repeat(begins[:-1], size)
-            many = np.repeat(size, size)
-            i = np.arange(len(lead))
-            in_long = i[many > LIST]
-            pairs = [pair(x, lead[in_long], in_long)]
-            short = i[(many > 1) & (many <= LIST)]
-            stops = lead + many
-            for step in range(1, LIST):
-                short = short[short + step < stops[short]]
-                if not len(short):
-                    break
-                pairs.append(pair(x, short, short + step))
-            yield batch([(a[a != b_], b_[a != b_]) for a, b_ in pairs], x["key"][in_long], x["node"][in_long])
-        if len(held["key"]) > 1 and not long:
-            i, j = np.triu_indices(len(held["key"]), 1)
-            yield batch([pair(held, i, j)], none, none)
+                if bucket != now and strings:
+                    yield whole(now, strings)
+                    strings = []
+                now = bucket
+                strings.append(data)
+        if strings:
+            yield whole(now, strings)
+
+    return run
+
+
+def _near_enough(similarity: float):
+    """The count filter: keeps (a, b) whose fingerprints differ in no more bits than similar sets can."""
+    most = (1 - similarity) / (1 + similarity)
+
+    def run(batches):
+        for t in batches:
+            n1, n2 = (np.asarray(t.column(c)).astype(float) for c in ("n", "m"))
+            limit = (n1 + n2) * most + SLACK * (n1 + n2)
+            keep = [differing(x, y) <= z for x, y, z in zip(t.column("x").to_pylist(), t.column("y").to_pylist(), limit.tolist())]
+            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -271,40 +392,61 @@ def list_links(posts: DataFrame, sets: DataFrame, similarity: float, most: int)
     return rows.join(sets, "node").groupBy("key", "i", "j").applyInArrow(_block(similarity), "a long, b long")
 
 
+def sets_of(nodes: DataFrame, known: DataFrame, texts: DataFrame, n_words: int) -> DataFrame:
+    """(node, s) of the distinct `nodes`, from the text of each node's first row."""
+    asked = cut(known.join(nodes, "node").select("k", "th", "node"))
+    if asked.count() <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)
+    found = texts.join(asked, ["k", "th"]).select("node", "t").mapInArrow(_sets(n_words), "node long, s array<long>")
+    return stored(found).dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
 def similar_dedup(docs: DataFrame, similarity: float = 0.8, n_words: int = 5, id_col: str = "doc_id", text_col: str = "text", most: int = 512) -> DataFrame:
     """The rows of `docs`, of each component of links only that with the smallest id, all columns as they were.
 
     Texts link if their sets of lower-cased `n_words` shingles have a Jaccard similarity of at least `similarity`;
-    texts without words are one group. Null ids come last; between rows of one id the least text hash stays,
-    and of rows that repeat both, one.
+    null and empty texts and those of white space only have no words and are one group. Null ids come last; between rows of one id
+    the least text hash stays, and of rows that repeat both, one. Texts of any length are taken whole. No rows give no rows.
     """
+    if not 1 <= n_words <= len(PLACE):
+        raise ValueError(f"shingles have 1 to {len(PLACE)} words")
     last = (1 << 63) - 1
     text = F.col(text_col).cast("string")
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("k"), F.xxhash64(text).alias("th"), text.alias("t"))
-    prints = cut(slim.mapInArrow(_nodes(n_words), "k long, th long, node long"))
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(slim, n_words))
-    posts = slim.select("t").mapInArrow(_postings(n_words, similarity, common), "key long, node long, n int, at int")
-    found = stored(posts.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_pairs(similarity), "a long, b long, key long"))
-    pairs = cut(found.where("b is not null").select("a", "b").distinct())
+    first = stored(slim.mapInArrow(_first_pass(n_words, similarity), FIRST_PASS))
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(first))
+    total = first.agg(F.sum(F.col("p").cast("long"))).first()[0] or 0
+    bits = min(MOST_BUCKETS, max(6, (total // BUCKET).bit_length()))
+    known = cut(first.where("node is not null").groupBy("node").agg(F.min(F.struct("k", "th")).alias("lead"), F.first("n").alias("n")).select("node", "lead.k", "lead.th", "n"))
+    prints = cut(first.where("bits is not null").select("node", "n", "bits").dropDuplicates(["node"]))
+
+    posts = slim.select("t").mapInArrow(_postings(n_words, similarity, common, bits), "bucket int, kind byte, data binary")
+    found = stored(posts.repartition(1 << min(bits, 15), "bucket").sortWithinPartitions("bucket").mapInArrow(_pairs(similarity), "a long, b long, key long"))
+    pairs = found.where("b is not null").select("a", "b").distinct()
+    both = pairs.join(prints.toDF("a", "n", "x"), "a").join(prints.toDF("b", "m", "y"), "b")
+    near = cut(both.mapInArrow(_near_enough(similarity), "a long, b long"))
     lists = found.where("key is not null").select("key", F.col("a").alias("node"))
 
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(lists.select("node")).distinct()
-    asked = asked.join(prints.groupBy("node").agg(F.min("th").alias("th")), "node")
-    texts = slim.select("th", "t").join(asked, "th").dropDuplicates(["node"]).select("node", "t")
-    sets = stored(texts.mapInArrow(_sets(n_words), "node long, s array<long>"))
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    links = cut(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+    sets = sets_of(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), known, slim, n_words)
+    links = cut(verified(near, sets, similarity))
     parts = connected_components(links)
 
-    known = lists.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = known.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    open_lists = cut(lists.join(apart.select("key", "n"), "key"))
+    named = lists.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    open_lists = cut(lists.join(apart.select("key"), "key").distinct())
     if not open_lists.isEmpty():
-        parts = connected_components(links.union(cut(list_links(open_lists, sets, similarity, most))))
+        sizes = open_lists.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        more = sets_of(open_lists.select("node").distinct(), known, slim, n_words)
+        parts = connected_components(links.union(cut(list_links(open_lists.join(sizes, "key"), more, similarity, most))))
 
-    where = prints.select("node").distinct().join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part"))
+    where = known.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     key, th = spare(docs, "key", "th")
-    lead = prints.join(where, "node").groupBy("part").agg(F.min(F.struct("k", "th")).alias("lead")).select(F.col("lead.k").alias(key), F.col("lead.th").alias(th))
+    lead = where.groupBy("part").agg(F.min(F.struct("k", "th")).alias("lead")).select(F.col("lead.k").alias(key), F.col("lead.th").alias(th))
     rows = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(last)), th: F.xxhash64(text)})
     return rows.join(lead, [key, th]).dropDuplicates([key, th]).select(*docs.columns)
