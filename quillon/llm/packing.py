@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import pre_tokenizers
 
-from quillon.llm.common import cut, pieces, ranked, stored
+from quillon.llm.common import cut, pieces, ranked, spare, stored
 
 #: How byte-level BPE vocabularies of this family split a text before merging (a fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Characters from which on a text goes to `tokenizers` itself.
+LONG_TEXT = 1 << 22
 #: Texts on which an encoder proves that it agrees with `tokenizers` before it is used.
 PROBES = ("", " a  b\n\n c's", "\u00e9t\u00e9\u00a0\n\u3000x \t", "12 345,, <!>", "\u65e5\u672c \x1c\x85.", "x" * 300)
 
@@ -41,7 +43,8 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
 
     A string of the vocabulary's special tokens in a text stands for that token. The vocabulary
     is read into `tiktoken`, which merges the same ranks several times faster; it is held
-    against `tokenizers` on `PROBES` and on the special tokens.
+    against `tokenizers` on `PROBES` and on the special tokens. Its splitter gives up on runs of
+    about a million characters: such texts go to `tokenizers` itself, as do texts of over LONG_TEXT characters.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -59,7 +62,12 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     names = set(special)
 
     def ids(text: str) -> np.ndarray:
-        return fast.encode_to_numpy(text, allowed_special=names, disallowed_special=())
+        if len(text) <= LONG_TEXT:
+            try:
+                return fast.encode_to_numpy(text, allowed_special=names, disallowed_special=())
+            except ValueError:  # the splitter's stack
+                pass
+        return np.array(plain.encode(text, add_special_tokens=False).ids, np.uint32)
 
     for probe in (*PROBES, *[f"a {s}{s} b" for s in special]):
         if ids(probe).tolist() != plain.encode(probe, add_special_tokens=False).ids:
@@ -158,18 +166,22 @@ def pack(parts: DataFrame, size: int = 1024) -> DataFrame:
             at += length * n
         first += count
     spark = parts.sparkSession
-    table = F.broadcast(spark.createDataFrame(ranges, "r_length long, lo long, hi long, n long, first long, at long"))
-    key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "start", "ids_crc32").cast("binary"))
-    rows = ranked(parts.withColumn("key", key), ["length"], ["key", "doc_id", "start", "ids_crc32"], "rank")
-    rows = rows.join(table, (F.col("length") == F.col("r_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    return rows.select(*parts.columns, F.expr("first + (rank - lo) div n").alias("sequence_id"), F.expr("at + (rank - lo) % n * length").alias("offset"))
+    key, rank, of, lo, hi, n, first, at = spare(parts, "key", "rank", "of", "lo", "hi", "n", "first", "at")
+    # some patterns for each length, however many pieces there are
+    table = F.broadcast(spark.createDataFrame(ranges, T.StructType([T.StructField(c, T.LongType()) for c in (of, lo, hi, n, first, at)])))
+    hashed = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "start", "ids_crc32").cast("binary"))
+    rows = ranked(parts.withColumn(key, hashed), ["length"], [key, "doc_id", "start", "ids_crc32"], rank)
+    rows = rows.join(table, (F.col("length") == F.col(of)) & (F.col(rank) >= F.col(lo)) & (F.col(rank) < F.col(hi)))
+    place = F.col(rank) - F.col(lo)
+    sequence = F.col(first) + ((place - place % F.col(n)) / F.col(n)).cast("long")
+    return rows.select(*parts.columns, sequence.alias("sequence_id"), (F.col(at) + place % F.col(n) * F.col("length")).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, size: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row for each piece.
 
     A null or empty text is the end id alone. Rows that repeat an id are documents of their own; a null
-    id is kept. Sequences are padded to `size` by whoever reads them, except at a power of two.
+    id is kept. No rows give no pieces. Texts of any length are encoded whole. Sequences are padded to `size` by whoever reads them, except at a power of two.
     """
     return pack(cut_pieces(docs, path or tokenizer_path(), size, id_col, text_col), size)
 

@@ -27,6 +27,10 @@ def test_ids_are_those_of_the_tokenizer():
     check([chr(c) + " " + chr(c) + chr(c) + "\n" + chr(c) + "a" for c in [*range(0x2100), *range(0x2FF0, 0x3010), 0xFEFF, 0x180E]])
 
 
+def test_ids_of_very_long_runs():
+    check([" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "x " + " " * 1_100_000 + "y", "word, " * 900_000])
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from(list("ab' \n\t\r\x0b\x1c 　 é日1.,<|>’")), max_size=14), max_size=5))
 def test_ids_of_random_texts(texts):
