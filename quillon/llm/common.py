@@ -66,35 +66,46 @@ def ranked(df: DataFrame, group: list[str], order: list[str], rank: str, per_buc
     No task sees a whole group: rows fall into buckets by the leading 32 bits of
     the md5, which keep its order; a window ranks inside (group, bucket), and an
     offset from the bucket counts is added. The number of buckets follows the
-    number of rows, so that a bucket stays near `per_bucket` rows. Rows that tie in
+    number of rows, so that a bucket stays near `per_bucket` rows. Offsets are summed at two levels, so that no
+    task sees all buckets of a group either, but `per_bucket` buckets or their sums. Rows that tie in
     all of `order` are the same to the result. `df` should be cut or cheap to read.
     """
     from pyspark.sql import Window
 
     n = max(1, -(-df.count() // per_bucket))
-    bucket, offset, size = spare(df, "bucket", "offset", "size")
+    bucket, offset, size, over = spare(df, "bucket", "offset", "size", "over")
     lead = F.conv(F.substring(F.col(order[0]), 1, 8), 16, 10).cast("long")
     df = df.withColumn(bucket, (lead * F.lit(n) / F.lit(1 << 32)).cast("long"))
-    sizes = df.groupBy(*group, bucket).agg(F.count(F.lit(1)).alias(size))
-    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn(offset, F.coalesce(F.sum(size).over(before), F.lit(0))).drop(size)
-    keys = [*group, bucket]
-    right = sizes.select(*[F.col(k).alias(f"{k}__r") for k in keys], offset)
-    on = [df[k].eqNullSafe(right[f"{k}__r"]) for k in keys]
-    inside = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    df = df.withColumn(rank, F.row_number().over(inside) - 1)
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return df.join(right, cond).withColumn(rank, (F.col(rank) + F.col(offset)).cast("long")).drop(bucket, offset, *[f"{k}__r" for k in keys])
+    sizes = df.groupBy(*group, bucket).agg(F.count(F.lit(1)).alias(size)).withColumn(over, F.floor(F.col(bucket) / per_bucket).cast("long"))
+
+    def summed(rows: DataFrame, within: list[str], by: str, to: str) -> DataFrame:
+        before = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn(to, F.coalesce(F.sum(size).over(before), F.lit(0)))
+
+    def joined_with(left: DataFrame, right: DataFrame, keys: list[str], value: str, to: str) -> DataFrame:
+        """left with right's `value`, for keys that may be null, added to `to`."""
+        names = [f"{k}__r" for k in keys]
+        right = right.select(*[F.col(k).alias(m) for k, m in zip(keys, names)], F.col(value).alias(f"{value}__r"))
+        cond = F.lit(True)
+        for k, m in zip(keys, names):
+            cond = cond & left[k].eqNullSafe(right[m])
+        return left.join(right, cond).withColumn(to, (F.col(to) + F.col(f"{value}__r")).cast("long")).drop(*names, f"{value}__r")
+
+    inner = summed(sizes, [*group, over], bucket, offset)
+    if n > per_bucket:
+        outer = summed(sizes.groupBy(*group, over).agg(F.sum(size).alias(size)), group, over, offset)
+        inner = joined_with(inner, outer, [*group, over], offset, offset)
+    inside = Window.partitionBy(*group, bucket).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    df = df.withColumn(rank, (F.row_number().over(inside) - 1).cast("long"))
+    return joined_with(df, inner, [*group, bucket], offset, rank).drop(bucket)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in `edges` (long a, long b): the smallest node that links reach.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until no edge
-    changes, in O(log^2 n) rounds. Each step is a grouped minimum and a join, so a
-    hub is combined on the map side and never gathered. Each round is cut.
+    changes, in O(log^2 n) rounds. Each step is a grouped minimum, which combines a hub's edges on the map
+    side, and a join of the edges with one row a node, in which AQE splits the partition of a hub. Each round is cut.
     """
     e = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -6,18 +6,23 @@ floor(j / w) and a deadline ceil((j + 1) / w). In each slot the released block w
 deadline goes next (ties by the source's name). Every block runs in its window, so at
 any time a source is less than one block from its share.
 
-The schedule repeats after Q slots, so it is played for one such period, on the
-driver, over weights alone: a table of Q rows. Documents find their slot by joins with that
+The schedule repeats after Q slots, so it is played for one such period, or until a source is used up, on the
+driver, over weights and counts alone. Documents find their slot by joins with that
 table. When a source is used up the others share on by their weights: a
 new phase, at most one for each source. No document is dropped or repeated.
 
-DataFrame functions only. The driver sees one row for each source (bounded by `max_sources`), and what is
-broadcast is at most max_sources phases of `max_period` rows.
+Weights are taken exactly, as the fractions that their decimals are: nothing is rounded, whatever their number. What that
+may cost is bounded: the driver sees one row for each source, `max_sources` at most, and plays `max_plan` slots
+at most, in which a source that has none in a phase has no row; weights and sources that need more raise an error and are never changed. The table of slots is broadcast up to
+BROADCAST_ROWS rows and shuffled beyond. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,54 +30,59 @@ from pyspark.sql import functions as F
 from quillon.llm.common import cut, ranked, spare
 
 LAST = (1 << 63) - 1
+#: Tables of a plan are broadcast up to so many rows, of 32 bytes each.
+BROADCAST_ROWS = 1 << 18
 
 
-def period(shares: list[int]) -> list[list[int]]:
-    """The slots of each source's blocks in one period of sum(shares) slots, by earliest deadline first."""
+def play(shares: list[int], left: list[int], most: int) -> list[list[int]]:
+    """The slots of each source's blocks by earliest deadline first, for one period of sum(shares) slots or until a source has no block left."""
     total = sum(shares)
     slots: list[list[int]] = [[] for _ in shares]
     ready: list[tuple[int, int]] = []  # (deadline, source) of released blocks
     later = [(0, i) for i, q in enumerate(shares) if q]  # (release, source) of each source's next block
     heapq.heapify(later)
     for t in range(total):
+        if t >= most:
+            raise ValueError("the schedule needs more slots than max_plan: take coarser weights, fewer sources or larger blocks")
         while later and later[0][0] <= t:
             _, i = heapq.heappop(later)
             j = len(slots[i])
             heapq.heappush(ready, (-(-(j + 1) * total // shares[i]), i))
         _, i = heapq.heappop(ready)
         slots[i].append(t)
-        if (j := len(slots[i])) < shares[i]:
+        j = len(slots[i])
+        if j == left[i]:
+            break
+        if j < shares[i]:
             heapq.heappush(later, (max(j * total // shares[i], t + 1), i))
     return slots
 
 
-def plan(blocks: list[int], shares: list[int]) -> list[tuple[int, list[int], list[int], list[list[int]]]]:
-    """Phases (first slot, blocks used before by source, shares of those that have blocks left, slots of a period)."""
-    used, start, out = [0] * len(blocks), 0, []
+def plan(blocks: list[int], shares: list[int], max_plan: int) -> list[tuple[int, list[int], list[int], list[list[int]]]]:
+    """Phases (first slot, blocks used before by source, shares of those that have blocks left, slots of a period or of all that is played)."""
+    used, start, rows, out = [0] * len(blocks), 0, 0, []
     while any(u < b for u, b in zip(used, blocks)):
         now = [q if u < b else 0 for q, u, b in zip(shares, used, blocks)]
-        total, slots = sum(now), period(now)
-        ends = [((b - u - 1) // q) * total + s[(b - u - 1) % q] for q, u, b, s in zip(now, used, blocks, slots) if q]
+        total, left = sum(now), [b - u for u, b in zip(used, blocks)]
+        slots = play(now, left, max_plan - rows)
+        rows += sum(map(len, slots)) + sum(map(bool, slots))
+        ends = [((n - 1) // q) * total + s[(n - 1) % q] for q, n, s in zip(now, left, slots) if q and (n - 1) % q < len(s)]
         out.append((start, list(used), now, slots))
         over = min(ends) + 1
-        used = [u + (over // total) * q + sum(x < over % total for x in s) for u, q, s in zip(used, now, slots)]
+        used = [u + (over // total) * q + bisect.bisect_left(s, over % total) for u, q, s in zip(used, now, slots)]
         start += over
     return out
 
 
-def whole_shares(weights: dict[str | None, float], names: list[str | None], max_period: int) -> list[int]:
-    """Integer shares: the weights as they are if they are small integers, else scaled to max_period slots by largest remainder."""
-    w = [weights.get(n, 0) for n in names]
-    if any(x <= 0 or x != x for x in w):
+def whole_shares(weights: dict[str | None, float], names: list[str | None]) -> list[int]:
+    """The least integers in the proportion of the weights, exactly: 0.1 is a tenth."""
+    if any(n not in weights or not 0 < weights[n] < float("inf") for n in names):
         raise ValueError("every source needs a positive target weight")
-    if all(float(x).is_integer() for x in w) and sum(w) <= max_period:
-        return [int(x) for x in w]
-    room = max_period - len(w)
-    part = [room * x / sum(w) for x in w]
-    out = [1 + int(x) for x in part]
-    for i in sorted(range(len(w)), key=lambda i: (int(part[i]) - part[i], i))[: max_period - sum(out)]:
-        out[i] += 1
-    return out
+    exact = [w if isinstance(w, Fraction) else Fraction(str(w)) for w in (weights[n] for n in names)]
+    scale = math.lcm(*[w.denominator for w in exact])
+    shares = [int(w * scale) for w in exact]
+    least = math.gcd(*shares) or 1
+    return [q // least for q in shares]
 
 
 def stepped_weights(docs: DataFrame, source_col: str = "source", max_sources: int = 10_000) -> dict[str | None, float]:
@@ -85,7 +95,7 @@ def _key(id_col: str, text_col: str) -> Column:
     return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("binary"))
 
 
-def _scheduled(rows: DataFrame, key: str, source_col: str, weights: dict[str | None, float] | None, block_docs: int, max_sources: int, max_period: int) -> tuple[DataFrame, dict[str, str]]:
+def _scheduled(rows: DataFrame, key: str, source_col: str, weights: dict[str | None, float] | None, block_docs: int, max_sources: int, max_plan: int) -> tuple[DataFrame, dict[str, str]]:
     """`rows` with block, release, deadline, slot and place under names that are free, and these names. key: an md5 column."""
     names_of = dict(zip((want := ("name", "block", "release", "deadline", "slot", "place", "rank", "p", "s", "lo", "hi", "q", "total", "start", "j", "t")), spare(rows, *want)))
     n = names_of
@@ -95,14 +105,14 @@ def _scheduled(rows: DataFrame, key: str, source_col: str, weights: dict[str | N
         raise ValueError(f"over {max_sources} sources")
     sizes = sorted(sizes, key=lambda r: (r[0] is not None, r[0] or ""))
     names = [r[0] for r in sizes]
-    shares = whole_shares(weights or dict.fromkeys(names, 1), names, max_period)
-    phases = plan([-(-r["size"] // block_docs) for r in sizes], shares)
+    shares = whole_shares(weights or dict.fromkeys(names, 1), names)
+    phases = plan([-(-r["size"] // block_docs) for r in sizes], shares, max_plan)
     spans, slots = [], []
     for p, (start, used, now, table) in enumerate(phases):
-        after = phases[p + 1][1] if p + 1 < len(phases) else None
+        after, total = phases[p + 1][1] if p + 1 < len(phases) else None, sum(now)
         for i, q in enumerate(now):
-            if q:
-                spans.append((i, names[i], p, start, used[i], after[i] if after else LAST, q, sum(now)))
+            if table[i]:  # it has blocks in this phase
+                spans.append((i, names[i], p, start, used[i], after[i] if after else LAST, q, total))
                 slots += [(p, i, j, t) for j, t in enumerate(table[i])]
     spark = rows.sparkSession
     span = spark.createDataFrame(spans, "s int, name string, p int, start long, lo long, hi long, q long, total long")
@@ -111,8 +121,12 @@ def _scheduled(rows: DataFrame, key: str, source_col: str, weights: dict[str | N
     slot = slot.select(*[F.col(c).alias(n[c]) for c in slot.columns])
     c = {k: F.col(v) for k, v in n.items()}
     rows = ranked(rows, [n["name"]], [key], n["rank"]).withColumns({n["block"]: F.floor(c["rank"] / block_docs).cast("long"), n["place"]: (c["rank"] % block_docs).cast("long")})
-    rows = rows.join(F.broadcast(span), c["name"].eqNullSafe(F.col(n["name"] + "_of")) & (c["block"] >= c["lo"]) & (c["block"] < c["hi"]))
-    rows = rows.withColumn(n["j"], (c["block"] - c["lo"]) % c["q"]).join(F.broadcast(slot), [n["p"], n["s"], n["j"]])
+    if len(spans) <= BROADCAST_ROWS:
+        span = F.broadcast(span)
+    if len(slots) <= BROADCAST_ROWS:
+        slot = F.broadcast(slot)
+    rows = rows.join(span, c["name"].eqNullSafe(F.col(n["name"] + "_of")) & (c["block"] >= c["lo"]) & (c["block"] < c["hi"]))
+    rows = rows.withColumn(n["j"], (c["block"] - c["lo"]) % c["q"]).join(slot, [n["p"], n["s"], n["j"]])
     whole = {k: f"`{v}`" for k, v in n.items()}
     return rows.withColumns(
         {
@@ -123,21 +137,22 @@ def _scheduled(rows: DataFrame, key: str, source_col: str, weights: dict[str | N
     ), n
 
 
-def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, block_docs: int = 4, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_sources: int = 10_000, max_period: int = 10_000) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, block_docs: int = 4, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_sources: int = 10_000, max_plan: int = 1_000_000) -> DataFrame:
     """(id_col, source_col, block, release, deadline, slot, place), one row for each row of `docs`.
 
     Slots count blocks, place the documents in a block. Without weights sources share alike; a null
-    source is a source. Rows go in the order of md5(id | text), nulls as empty; rows that repeat both are alike.
+    source is a source; one without a positive weight is an error. Rows go in the order of md5(id | text), nulls as empty;
+    rows that repeat both are alike. Texts of any length are hashed whole. No rows give no rows.
     """
     rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), _key(id_col, text_col).alias("key")))
-    rows, n = _scheduled(rows, "key", "source", weights, block_docs, max_sources, max_period)
+    rows, n = _scheduled(rows, "key", "source", weights, block_docs, max_sources, max_plan)
     return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), *[F.col(n[c]).alias(c) for c in ("block", "release", "deadline", "slot", "place")])
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_docs: int = 4, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_sources: int = 10_000, max_period: int = 10_000) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_docs: int = 4, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_sources: int = 10_000, max_plan: int = 1_000_000) -> DataFrame:
     """`docs`, all rows and columns, sorted into the mixture's order: written, its files hold the training order."""
     key = spare(docs, "key")[0]
-    rows, n = _scheduled(docs.withColumn(key, _key(id_col, text_col)), key, source_col, weights, block_docs, max_sources, max_period)
+    rows, n = _scheduled(docs.withColumn(key, _key(id_col, text_col)), key, source_col, weights, block_docs, max_sources, max_plan)
     return rows.orderBy(n["slot"], n["place"]).select(*docs.columns)
 
 

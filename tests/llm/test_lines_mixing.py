@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import lines as L
 from quillon.llm import mixing as M
+from quillon.llm.common import cut, ranked
 
 
 def line_rows(seed=1):
@@ -59,7 +60,7 @@ def test_far_above_the_threshold_and_empty(spark):
 def test_period_meets_every_window():
     for shares in ([1], [1, 1, 1], [5, 3, 2], [1, 7, 13, 2], [50, 1, 1]):
         total = sum(shares)
-        slots = M.period(shares)
+        slots = M.play(shares, [10**9] * len(shares), total)
         assert sorted(x for s in slots for x in s) == list(range(total))
         for q, s in zip(shares, slots):
             for j, t in enumerate(s):
@@ -85,6 +86,52 @@ def brute_mix(counts, shares, block):
     return out
 
 
+def test_weights_are_exact_at_any_number_of_sources():
+    names = [f"s{i}" for i in range(10_000)]
+    assert M.whole_shares({n: 1 + i % 4 for i, n in enumerate(names)}, names) == [1 + i % 4 for i in range(10_000)]
+    assert M.whole_shares({"a": 0.00001, "b": 1, None: 0.5}, ["a", "b", None]) == [1, 100_000, 50_000]
+    for bad in ({}, {"a": 0}, {"a": -1.0}, {"a": float("nan")}, {"a": float("inf")}):
+        with pytest.raises(ValueError):
+            M.whole_shares(bad, ["a"])
+
+
+def test_plans_against_slot_by_slot():
+    r = random.Random(9)
+    for _ in range(60):
+        n = r.randrange(1, 9)
+        blocks, shares = [r.randrange(1, 60) for _ in range(n)], [r.randrange(1, r.choice([3, 30])) for _ in range(n)]
+        want = brute_mix({f"{i:02d}": b for i, b in enumerate(blocks)}, {f"{i:02d}": q for i, q in enumerate(shares)}, 1)
+        phases, got = M.plan(blocks, shares, 10**6), {}
+        for p, (start, used, now, slots) in enumerate(phases):
+            after = phases[p + 1][1] if p + 1 < len(phases) else blocks
+            for i, q in enumerate(now):
+                for b in range(used[i], after[i] if q else used[i]):
+                    got[f"{i:02d}", b] = start + (b - used[i]) // q * sum(now) + slots[i][(b - used[i]) % q]
+        assert got == want
+    with pytest.raises(ValueError):
+        M.plan([10**9, 10**9], [999_983, 1_000_003], 10**6)
+
+
+def test_thousands_of_sources_keep_their_weights(spark):
+    """Each source is used up in a phase of its own; until the first is, every source has its share but for less than one block."""
+    n = 2_000
+    df = spark.range(5 * n).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.format_string("s%05d", F.col("id") % n).alias("source"))
+    got = M.schedule(df, {f"s{i:05d}": 1 + i % 4 for i in range(n)}, block_docs=1).select("source", "slot").toPandas()
+    assert sorted(got.slot) == list(range(5 * n))
+    total = 5 * n // 2
+    for t in (n // 2, n, 2 * n, total):
+        done = got[got.slot < t].groupby("source").size()
+        assert all(abs(done.get(f"s{i:05d}", 0) - t * (1 + i % 4) / total) < 1 for i in range(n))
+
+
+def test_ranks_at_two_levels(spark):
+    """Offsets of thousands of buckets, summed at two levels, give gapless ranks in the order of the hash; null groups too."""
+    df = spark.range(3000).select("id", F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("g"), F.md5(F.col("id").cast("string").cast("binary")).alias("key")).repartition(5)
+    got = ranked(cut(df), ["g"], ["key", "id"], "rank", per_bucket=4).toPandas()
+    for _, part in got.groupby("g", dropna=False):
+        assert part.sort_values("key")["rank"].tolist() == list(range(len(part)))
+
+
 def mix_rows():
     r = random.Random(2)
     return [(i if i % 17 else None, r.choice(["", "a", "bb", None]) if i % 5 else f"t{i}", r.choice("aaabbc") if i % 29 else None) for i in range(400)]
