@@ -3,7 +3,7 @@
 A line that stands on many sites is boilerplate. Every line is known by a 128-bit hash;
 a HyperLogLog sketch of its sites is built for each hash, merged by aggregation (partial
 sketches meet, rows don't). Lines whose estimate is clearly below or above the threshold are decided by
-it; those near it get an exact distinct count. Of a boilerplate line one occurrence
+it, and those below are not looked at again; those near it get an exact distinct count. Of a boilerplate line one occurrence
 stays, the first by document and position, so that no text leaves the corpus altogether and copies
 of one document don't wipe each other out.
 
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import cut, spare
 
 LAST = (1 << 63) - 1
+#: Tables of lines are broadcast up to so many rows, of under 100 bytes each; beyond that both sides are shuffled.
+BROADCAST_ROWS = 1 << 18
 
 
 def _exploded(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
@@ -36,19 +38,25 @@ def _without(text: Column, gone: Column) -> Column:
 
 
 def boilerplate(rows: DataFrame, min_sites: int, margin: float = 0.1, lg_k: int = 12) -> DataFrame:
-    """(h1, h2, lead) of lines on at least `min_sites` sites; lead is the first occurrence.
+    """(k1, k2, pos) of the occurrences, but the first, of lines on at least `min_sites` sites.
 
     The margin is over six standard errors of a sketch of 2^12 registers.
     """
     low, high = int(min_sites * (1 - margin)) - 1, min_sites * (1 + margin) + 1
+    line = ["h1", "h2"]
     spread = F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites")
-    seen = cut(rows.groupBy("h1", "h2").agg(spread, F.min(F.struct("k1", "k2", "pos")).alias("lead")).where(F.col("sites") >= low))
-    near = seen.where(F.col("sites") <= high)
+    seen = cut(rows.groupBy(*line).agg(spread, F.min(F.struct("k1", "k2", "pos")).alias("lead")).where(F.col("sites") >= low))
+    few = F.broadcast(seen) if seen.count() <= BROADCAST_ROWS else seen
+    found = rows.join(few, line).select(*line, "k1", "k2", "pos", "site", (F.col("sites") <= high).alias("near"), (F.struct("k1", "k2", "pos") == F.col("lead")).alias("first"))
+    found = cut(found)  # of all lines, those that the sketches don't rule out
     # a line that is everywhere shrinks to its sites before it is dealt out by its hash
-    pairs = rows.where("site is not null").select("h1", "h2", "site").distinct()
-    exact = pairs.join(near.select("h1", "h2"), ["h1", "h2"]).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites)
-    sure = seen.where(F.col("sites") > high)
-    return sure.select("h1", "h2", "lead").union(near.join(exact, ["h1", "h2"]).select("h1", "h2", "lead"))
+    pairs = found.where("near and site is not null").select(*line, "site").distinct()
+    exact = cut(pairs.groupBy(*line).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select(*line))
+    if exact.count() <= BROADCAST_ROWS:
+        exact = F.broadcast(exact)
+    again = found.where("not first")
+    place = ["k1", "k2", "pos"]
+    return again.where("not near").select(*place).union(again.where("near").join(exact, line).select(*place))
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", counts: bool = False) -> DataFrame:
@@ -56,16 +64,14 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", te
 
     Lines are split at \\n and compared as they are; lines of spaces only are never boilerplate.
     A null site is no site. A null text stays null. Null ids come last when the first occurrence is sought, and
-    rows that repeat id and text count as one document. With `counts`, n_lines and n_removed
+    rows that repeat id and text count as one document. Texts and lines of any length are taken whole. With `counts`, n_lines and n_removed
     are added (replaced where `docs` has them).
     """
     if min_sites < 2:
         raise ValueError("a line on one site is no boilerplate")
     rows = _exploded(docs, id_col, text_col, site_col)
-    found = boilerplate(rows, min_sites)
     k1, k2, gone = spare(docs, "k1", "k2", "gone")
-    hits = rows.join(found, ["h1", "h2"]).where("struct(k1, k2, pos) != lead")
-    drop = hits.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.collect_set("pos").alias(gone))
+    drop = boilerplate(rows, min_sites).groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.collect_set("pos").alias(gone))
     text = F.col(text_col).cast("string")
     keyed = docs.withColumns({k1: F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), k2: F.xxhash64(text)})
     out = keyed.join(drop, [k1, k2], "left")
