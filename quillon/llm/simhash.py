@@ -7,7 +7,7 @@ each, so the index posts triples of positional bytes instead. The twenty triples
 of `TRIPLES` are a Turan system: any four positions hold one of them, so every
 pair that the count filter would keep meets in a posting list. Inside a list the
 shared positional bytes of each pair are tallied, pairs with fewer than the
-guaranteed minimum are dropped and the others are verified by their bit
+guaranteed minimum are dropped and only the others are verified by their bit
 difference. A list yields one edge for each member at most, from the first of its
 component, and never all pairs, which leaves the components as they are.
 
@@ -86,13 +86,25 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, n_words: int) -> D
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("t")).mapInArrow(run, "id long, th long, fp long")
 
 
-def _forest(fp: np.ndarray, least: int, bits: int) -> list[tuple[int, int]]:
-    """For each component of the verified links of one posting list, edges from its first member to the others."""
-    x = fp[:, None] ^ fp[None, :]
+def shared_bytes(x: np.ndarray) -> np.ndarray:
+    """The tally: at how many of the eight positions two fingerprints hold the same byte, from their XOR."""
     tally = np.zeros(x.shape, np.uint8)
     for p in range(8):
         tally += (x >> np.uint64(8 * p)) & np.uint64(255) == 0
-    near = (tally >= least) & (np.bitwise_count(x) <= bits)
+    return tally
+
+
+def _verified(x: np.ndarray, least: int, bits: int) -> np.ndarray:
+    """Which XORs belong to links: bits are counted only where the tally reaches the guaranteed minimum."""
+    near = np.zeros(x.shape, bool)
+    some = np.nonzero(shared_bytes(x) >= least)
+    near[some] = np.bitwise_count(x[some]) <= bits
+    return near
+
+
+def _forest(fp: np.ndarray, least: int, bits: int) -> list[tuple[int, int]]:
+    """For each component of the verified links of one posting list, edges from its first member to the others."""
+    near = _verified(fp[:, None] ^ fp[None, :], least, bits)
     left, out = np.ones(len(fp), bool), []
     for root in range(len(fp)):
         if not left[root]:
@@ -116,8 +128,7 @@ def _links(bits: int, least: int):
             off = off - off[0]
             size = np.diff(off)
             two = off[:-1][size == 2]
-            x = flat[two] ^ flat[two + 1]
-            near = np.bitwise_count(x) <= bits  # implies the tally: each bit spoils one byte at most
+            near = _verified(flat[two] ^ flat[two + 1], least, bits)
             a.append(flat[two][near])
             b.append(flat[two + 1][near])
             for i in np.flatnonzero(size > 2):
@@ -171,8 +182,9 @@ def _assigned(docs: DataFrame, id_col: str, text_col: str, n_words: int, bits: i
     distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
     parts = connected_components(near_links(distinct.select("fp"), bits, most)).withColumnRenamed("node", "fp")
     known = distinct.join(parts, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
-    lowest = known.groupBy("part").agg(F.min("least").alias("component_id"))
-    return prints.join(known.drop("least").join(lowest, "part"), "fp")
+    # cut, so that the join below has nothing but this table's row for a part to meet, and AQE can split a large component
+    lowest = cut(known.groupBy("part").agg(F.min("least").alias("component_id")))
+    return prints.join(cut(known.drop("least")).join(lowest, "part"), "fp")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 4, bits: int = 4, most: int = 2048) -> DataFrame:
