@@ -155,6 +155,20 @@ def aggregate(df: DataFrame, keys: list[str], having: Cond | None = None, **aggr
     return out if having is None else where(out, having)
 
 
+#: Aggregate functions by name; avg is that of integers, truncated.
+CALLS = {"COUNT": F.count, "SUM": F.sum, "MIN": F.min, "MAX": F.max, "AVG": avg_int}
+
+
+def aggregate_calls(df: DataFrame, keys: list[str], *calls: tuple[str, str]) -> DataFrame:
+    """`aggregate` of (function, column) pairs, named FUNC(column); ("COUNT", "*") counts rows."""
+    made = {}
+    for name, c in calls:
+        if name.upper() not in CALLS or c != "*" and c not in df.columns or c == "*" and name.upper() != "COUNT":
+            raise ConstraintError(f"no aggregate {name}({c})")
+        made[f"{name.upper()}({c})"] = count_all() if c == "*" else CALLS[name.upper()](c)
+    return aggregate(df, keys, **made)
+
+
 def distinct(df: DataFrame) -> DataFrame:
     return df.distinct()
 

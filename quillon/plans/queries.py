@@ -13,9 +13,9 @@ from pyspark.sql import types as T
 from quillon.functions import expressions as E
 from quillon.functions.expressions import col, lit
 from quillon.operators import filters as fb
-from quillon.operators import index as ix
 from quillon.operators import relational as R
 from quillon.plans.sql import Engine
+from quillon.sources.store import Session
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,23 +42,28 @@ def on_table(name: str, source: str, sql: str, make: Callable[[DataFrame], DataF
     query(sql, name)(lambda spark, d: make(table(spark, d, source)))
 
 
-def through_sql(name: str, text: str, oracle: str | None = None) -> None:
-    """A query that goes through Spark's SQL over the driver's tables; DuckDB runs the same text unless told otherwise."""
+DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        from quillon.plans.sql import Tokens
 
-        words = {t for t, _, _ in Tokens(text).items}
-        frames = {t: table(spark, d, t) for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events") if t in words}
-        for t, df in frames.items():
-            df.createOrReplaceTempView(t)
-        try:
-            return spark.sql(text)
-        finally:
-            for t in frames:
-                spark.catalog.dropTempView(t)
+def _engine(spark: SparkSession, d: str | None = None) -> Engine:
+    """A new database in the cluster's shared folder: that of checkpoints, else the warehouse; /tmp serves local mode only. d: whose tables to attach."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.gettempdir() if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local" else spark.conf.get("spark.sql.warehouse.dir")
+    e = Engine.create(spark, f"{root}/quillon/{uuid.uuid4().hex}")
+    for t in DRIVER_TABLES if d else ():
+        e.attach(t, table(spark, d, t))
+    return e
+
+
+def through_sql(name: str, text: str, oracle: str | None = None, args: list | dict | None = None) -> None:
+    """A query that the engine executes over the driver's tables; DuckDB runs the same text unless told otherwise."""
+    query(text if oracle is None else oracle, name)(lambda spark, d: _engine(spark, d).execute(text, args).rows)
+
 
-    query(text if oracle is None else oracle, name)(run)
+def _plain_names(df: DataFrame) -> DataFrame:
+    """SUM(x) becomes sum_x, for drivers that select columns by text."""
+    return df.toDF(*[c.lower().replace("*", "all").replace("(", "_").rstrip(")") for c in df.columns])
 
 
 # scans, projections, filters
@@ -137,10 +142,11 @@ def theta_join(spark: SparkSession, d: str) -> DataFrame:
 
 for _how, _sql in (("left", "LEFT"), ("right", "RIGHT"), ("full", "FULL")):
 
-    @query(f"SELECT o_orderkey, l_orderkey, l_linenumber FROM (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) o {_sql} JOIN lineitem ON o_orderkey = l_orderkey", f"join_{_how}")
+    # lines of number 7 get keys that no order has; some orders have no line at all
+    @query(f"SELECT o_orderkey, k, l_linenumber FROM orders {_sql} JOIN (SELECT CASE WHEN l_linenumber = 7 THEN -l_orderkey ELSE l_orderkey END AS k, l_linenumber FROM lineitem) ON o_orderkey = k", f"join_{_how}")
     def _outer(spark: SparkSession, d: str, how: str = _how) -> DataFrame:
-        o = table(spark, d, "orders").where("o_orderkey % 3 <> 0")
-        return R.hash_join(o, table(spark, d, "lineitem"), ["o_orderkey"], ["l_orderkey"], how=how).select("o_orderkey", "l_orderkey", "l_linenumber")
+        l = table(spark, d, "lineitem").select(F.expr("CASE WHEN l_linenumber = 7 THEN -l_orderkey ELSE l_orderkey END AS k"), "l_linenumber")  # noqa: E741
+        return R.hash_join(table(spark, d, "orders"), l, ["o_orderkey"], ["k"], how=how).select("o_orderkey", "k", "l_linenumber")
 
 
 @query("SELECT n_name, r_name FROM nation CROSS JOIN region")
@@ -192,8 +198,8 @@ for _name, _down, _first in (("asc_default", False, None), ("desc_default", True
     on_table(
         f"sort_{_name}",
         "part",
-        f"SELECT s, p_partkey FROM (SELECT p_partkey, CASE WHEN p_size > 5 THEN NULL ELSE p_size END AS s FROM part WHERE p_size < 20) ORDER BY s {'DESC' if _down else 'ASC'} NULLS {_nulls}, p_partkey LIMIT 40",
-        lambda p, down=_down, first=_first: R.top_k(p.where("p_size < 20").select(F.expr("CASE WHEN p_size > 5 THEN NULL ELSE p_size END AS s"), "p_partkey"), 40, R.order("s", down, first), ties=["p_partkey"]),
+        f"SELECT s, p_partkey FROM (SELECT p_partkey, CASE WHEN p_size > 5 THEN NULL ELSE p_size END AS s FROM part) ORDER BY s {'DESC' if _down else 'ASC'} NULLS {_nulls}, p_partkey",
+        lambda p, down=_down, first=_first: R.sort(p.select(F.expr("CASE WHEN p_size > 5 THEN NULL ELSE p_size END AS s"), "p_partkey"), R.order("s", down, first), ties=["p_partkey"]),
     )
 _ORDERED = "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey"
 _orders = lambda o: R.sort(o.select("o_orderkey", "o_totalprice"), "o_orderkey")
@@ -203,37 +209,78 @@ on_table("offset_past_end", "nation", "SELECT n_name FROM nation ORDER BY n_name
 
 # set operations
 
-_sets = lambda o: (o.where("o_orderkey % 2 = 0").select("o_orderstatus", "o_orderpriority"), o.where("o_totalprice > 100000").select("o_orderstatus", "o_orderpriority"))
+_sets = lambda o: (o.select("o_custkey", "o_orderpriority"), o.where("o_totalprice > 100000").select("o_custkey", "o_orderpriority"))
 for _name, _op, _f in (("union", "UNION", R.union), ("intersect", "INTERSECT", R.intersect), ("except", "EXCEPT", R.difference)):
     for _all in (False, True):
         on_table(
             f"{_name}{'_all' if _all else ''}",
             "orders",
-            f"SELECT o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 2 = 0 {_op}{' ALL' if _all else ''} SELECT o_orderstatus, o_orderpriority FROM orders WHERE o_totalprice > 100000",
+            f"SELECT o_custkey, o_orderpriority FROM orders {_op}{' ALL' if _all else ''} SELECT o_custkey, o_orderpriority FROM orders WHERE o_totalprice > 100000",
             lambda o, f=_f, every=_all: f(*_sets(o), every),
         )
 
-# lookups by key
+# lookups by key: through an index of the store on the whole table
 
 _KEYS = ["l_orderkey", "l_linenumber"]
-_line = lambda x: x.select(*_ALL)
 _LINE = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem"
-on_table("index_exact", "lineitem", f"{_LINE} WHERE l_orderkey = 100 AND l_linenumber = 3", lambda x: _line(ix.exact(x, _KEYS, [100, 3])))
-on_table("index_prefix", "lineitem", f"{_LINE} WHERE l_orderkey = 101", lambda x: _line(ix.prefix(x, _KEYS, [101])))
-on_table("index_range", "orders", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= 50 AND o_orderkey < 90", lambda o: ix.range_(o, ["o_orderkey"], [50], [90]).select("o_orderkey", "o_custkey"))
-on_table("index_range_composite", "lineitem", f"{_LINE} WHERE (l_orderkey > 40 OR l_orderkey = 40 AND l_linenumber > 3) AND (l_orderkey < 60 OR l_orderkey = 60 AND l_linenumber <= 2)", lambda x: _line(ix.range_(x, _KEYS, [40, 3], [60, 2], include_start=False, include_end=True)))
-on_table("index_range_open", "orders", "SELECT o_orderkey FROM orders WHERE o_orderkey <= 30", lambda o: ix.range_(o, ["o_orderkey"], None, [30], include_end=True).select("o_orderkey"))
+
+
+def indexed(name: str, sql: str, look: Callable[[Session, str], DataFrame], source: str = "lineitem", columns: list[str] = _ALL, keys: list[str] = _KEYS) -> None:
+    """A query that stores a copy of a table, indexes it and reads by the index."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        session = _engine(spark).session
+        df = table(spark, d, source).select(*columns)
+        session.create_table("t", df.schema)
+        session.insert("t", df)
+        session.create_index("by_key", "t", keys)
+        return look(session, "by_key")
+
+    query(sql, name)(run)
+
+
+_ORDER = {"source": "orders", "columns": ["o_orderkey", "o_custkey"], "keys": ["o_orderkey"]}
+indexed("index_exact", f"{_LINE} WHERE l_orderkey = 100 AND l_linenumber = 3", lambda s, i: s.lookup(i, [100, 3]))
+indexed("index_prefix", f"{_LINE} WHERE l_orderkey = 101", lambda s, i: s.lookup(i, [101]))
+indexed("index_range", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= 50 AND o_orderkey < 90", lambda s, i: s.lookup_range(i, [50], [90]), **_ORDER)
+indexed("index_range_composite", f"{_LINE} WHERE (l_orderkey > 40 OR l_orderkey = 40 AND l_linenumber > 3) AND (l_orderkey < 60 OR l_orderkey = 60 AND l_linenumber <= 2)", lambda s, i: s.lookup_range(i, [40, 3], [60, 2], include_start=False, include_end=True))
+indexed("index_range_open", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey <= 30", lambda s, i: s.lookup_range(i, None, [30], include_end=True), **_ORDER)
+indexed("index_range_ordered", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 70 ORDER BY o_orderkey DESC", lambda s, i: s.lookup_range(i, [70], None, include_start=False, descending=True), **_ORDER)
+
+
+def _walk(s: Session, i: str) -> DataFrame:
+    c = s.cursor(i)
+    rows = [("seek", c.seek([50])), *[("next", r) for r in c.advance(3)], *[("back", r) for r in c.back(5)]]
+    return s.spark.createDataFrame([(n, how, r.o_orderkey, r.o_custkey) for n, (how, r) in enumerate(rows)], "n int, how string, o_orderkey long, o_custkey long")
+
+
+_AT = "(SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) AS r, count(*) FILTER (o_orderkey < 50) OVER () AS before FROM orders)"
+indexed(
+    "index_cursor",
+    f"SELECT n, how, o_orderkey, o_custkey FROM {_AT} JOIN (VALUES (0, 'seek', 1), (1, 'next', 2), (2, 'next', 3), (3, 'next', 4), (4, 'back', 3), (5, 'back', 2), (6, 'back', 1), (7, 'back', 0), (8, 'back', -1)) v(n, how, step) ON r = before + step",
+    _walk,
+    **_ORDER,
+)
 
 # SQL texts
 
 through_sql("scalar_subquery", "SELECT p_partkey, p_size FROM part WHERE p_size = (SELECT max(p_size) FROM part)")
 through_sql("exists", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)")
 through_sql("in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
-through_sql("not_in_subquery", "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")
+through_sql("not_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 through_sql("sql_alias_qualified", "SELECT t.n_name AS name, r.* FROM nation AS t JOIN region r ON t.n_regionkey = r.r_regionkey")
 through_sql("sql_group_having_order", "SELECT c_mktsegment, count(*) AS n, count(DISTINCT c_nationkey) AS k FROM customer GROUP BY c_mktsegment HAVING count(*) > 10 ORDER BY n DESC, c_mktsegment LIMIT 3")
 through_sql("sql_case_cast_like", "SELECT p_partkey, CASE p_size WHEN 1 THEN 'one' ELSE CAST(p_size AS STRING) END AS s FROM part WHERE p_name LIKE '%a%' AND NOT p_type LIKE 'S%'")
 through_sql("sql_cte_union", "WITH a AS (SELECT n_name AS x FROM nation), b AS (SELECT r_name AS x FROM region) SELECT x FROM a UNION ALL SELECT x FROM b")
+through_sql("sql_int_div", "SELECT p_partkey, (p_size - 25) / 4 AS q, p_partkey / 7 AS b, p_retailprice / 2 AS d FROM part WHERE p_size / 2 <> 3 AND (p_size + 1) / 2 * 2 - p_size < 1", "SELECT p_partkey, CAST((p_size - 25) // 4 AS INT) AS q, p_partkey // 7 AS b, p_retailprice / 2 AS d FROM part WHERE p_size // 2 <> 3 AND (p_size + 1) // 2 * 2 - p_size < 1")
+through_sql("sql_wrap", "SELECT p_partkey, p_size + 2147483600 AS a, -2147483600 - p_size * 3 AS b, p_size * 2000000011 AS c FROM part WHERE 2147483647 + p_size < 0", f"SELECT p_partkey, {_WRAP.format(_BIG + ' + 2147483600')} AS a, {_WRAP.format('-2147483600 - ' + _BIG + ' * 3')} AS b, {_WRAP.format(_BIG + ' * 2000000011')} AS c FROM part WHERE p_size > 0")
+through_sql("sql_unary", "SELECT p_partkey, +p_size AS a, - -p_size AS b, -(p_size - 3) AS c FROM part")
+through_sql("sql_prepared", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = ? AND o_totalprice > ? AND o_orderpriority LIKE ?", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 150000.5 AND o_orderpriority LIKE '%-H%'", ["F", 150000.5, "%-H%"])
+through_sql("sql_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+through_sql("sql_grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n, count(*) FILTER (WHERE l_quantity > 25) AS big FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+through_sql("sql_functions", "SELECT p_partkey, lower(p_name) AS a, length(p_type) AS b, substring(p_brand, 7, 2) AS c, replace(p_type, 'A', '-') AS d, abs(p_size - 25) AS e, coalesce(nullif(p_size, 7), -1) AS f, trim(p_type) AS g FROM part", "SELECT p_partkey, lower(p_name) AS a, CAST(length(p_type) AS INT) AS b, substring(p_brand, 7, 2) AS c, replace(p_type, 'A', '-') AS d, abs(p_size - 25) AS e, coalesce(nullif(p_size, 7), -1) AS f, trim(p_type) AS g FROM part")
+on_table("agg_default_names", "part", 'SELECT p_brand, count(*) AS count_all, sum(p_size)::BIGINT AS sum_p_size, CAST(sum(p_size) // count(p_size) AS INT) AS avg_p_size, min(p_name) AS min_p_name FROM part GROUP BY p_brand', lambda p: _plain_names(R.aggregate_calls(p, ["p_brand"], ("count", "*"), ("sum", "p_size"), ("avg", "p_size"), ("min", "p_name"))))
+on_table("expr_unary", "part", "SELECT p_partkey, p_size AS a, -p_size AS b, TRUE AS c FROM part", lambda p: R.project(p, ["p_partkey", +col("p_size"), -col("p_size"), lit((lit(2) * 3).is_constant() and (lit(2) * 3).type(p.schema) == T.IntegerType())], ["p_partkey", "a", "b", "c"]))
 
 
 # pipelines over several operators
@@ -264,12 +311,6 @@ def pricing_summary(spark: SparkSession, d: str) -> DataFrame:
 # tables that change: a database of its own for each call
 
 
-def _engine(spark: SparkSession) -> Engine:
-    """A new database in the cluster's shared folder, or in /tmp where none is named (local mode)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return Engine.create(spark, f"{root}/quillon/{uuid.uuid4().hex}")
-
-
 def _nation(spark: SparkSession, d: str) -> Engine:
     e = _engine(spark)
     e.execute("CREATE TABLE n (k INT PRIMARY KEY, name VARCHAR(25) NOT NULL, region INT)")
@@ -314,6 +355,63 @@ def index_table(spark: SparkSession, d: str) -> DataFrame:
     return e.session.lookup("by_region", [2])
 
 
+@query("SELECT n_nationkey AS k, n_name AS name, 2 AS region FROM nation WHERE n_regionkey = 1 UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 2 UNION ALL VALUES (100, 'new', 2)")
+def index_maintained(spark: SparkSession, d: str) -> DataFrame:
+    """An index follows inserts, updates and deletes."""
+    e = _nation(spark, d)
+    for s in ("CREATE INDEX by_region ON n (region)", "INSERT INTO n VALUES (100, 'new', 2), (101, 'gone', 2)", "UPDATE n SET region = 2 WHERE region = 1", "DELETE FROM n WHERE k = 101"):
+        e.execute(s)
+        e.session.lookup("by_region", [2])
+    return e.session.lookup("by_region", [2])
+
+
+@query("SELECT * FROM (VALUES ('n', 0), ('again', 1)) v(table_name, indexes)")
+def drop_and_create(spark: SparkSession, d: str) -> DataFrame:
+    e = _nation(spark, d)
+    for s in ("CREATE TABLE gone (a INT)", "CREATE INDEX i ON n (k)", "DROP INDEX i", "DROP TABLE gone", "DROP TABLE IF EXISTS gone", "CREATE TABLE again (a INT, b DOUBLE PRECISION)", "CREATE UNIQUE INDEX j ON again (b, a)"):
+        e.execute(s)
+    return e.execute("SELECT t.table_name, count(i.index_id) AS indexes FROM pg_tables t LEFT JOIN pg_index i ON t.table_id = i.table_id WHERE t.table_id > 3 GROUP BY t.table_name").rows
+
+
+@query("SELECT n_nationkey AS k, n_name AS name, n_regionkey AS region FROM nation WHERE n_nationkey = 7")
+def tuple_fetch(spark: SparkSession, d: str) -> DataFrame:
+    """A row by its address in the table's heap of files."""
+    s = _nation(spark, d).session
+    at = s.addressed("n").where("k = 7").first()
+    return s.fetch("n", at.row_file, at.row_index)
+
+
+@query("SELECT n_nationkey AS k, n_name AS name, n_regionkey AS region FROM nation WHERE n_regionkey <> 3 UNION ALL VALUES (200, NULL, 4)")
+def dml_prepared(spark: SparkSession, d: str) -> DataFrame:
+    e = _nation(spark, d)
+    e.prepare("DELETE FROM n WHERE region = ?").execute([3])
+    e.prepare("INSERT INTO n VALUES (:k, :name, :k / 50)").execute({"k": 200, "name": None})
+    return e.execute("SELECT * FROM n").rows
+
+
+@query("SELECT * FROM (VALUES ('read committed', 1), ('repeatable read', 25), ('serializable', 25)) v(level, n)")
+def isolation_levels(spark: SparkSession, d: str) -> DataFrame:
+    """What a transaction counts after another one has left one row of 25."""
+    out = []
+    for level in Session.LEVELS:
+        e = _nation(spark, d)
+        reader = Engine(spark, e.session.db, level)
+        reader.execute("BEGIN")
+        reader.execute("SELECT count(*) FROM n").text()
+        e.execute("DELETE FROM n WHERE k > 0")
+        out.append((level, int(reader.execute("SELECT count(*) FROM n").text()[0][0])))
+        reader.execute("ROLLBACK")
+    return spark.createDataFrame(out, "level string, n int")
+
+
+@query("SELECT * FROM (VALUES (TRUE, 'SELECT')) v(scans, tag)")
+def explain_text(spark: SparkSession, d: str) -> DataFrame:
+    e = _engine(spark, d)
+    plan = e.execute("EXPLAIN SELECT n_name FROM nation WHERE n_regionkey = 1").rows
+    scans = plan.agg(F.max(F.col("plan").contains("PushedFilters: [IsNotNull(n_regionkey), EqualTo(n_regionkey,1)]"))).first()[0]
+    return spark.createDataFrame([(scans, e.execute("SELECT 1").tag)], "scans boolean, tag string")
+
+
 @query("SELECT * FROM (VALUES (4, 'k', 'int', 1), (4, 'name', 'string', 2), (4, 'region', 'int', 3)) v(table_id, column_name, column_type, column_order)")
 def catalog_columns(spark: SparkSession, d: str) -> DataFrame:
     return _nation(spark, d).execute("SELECT table_id, column_name, column_type, column_order FROM pg_attribute WHERE table_id = 4").rows

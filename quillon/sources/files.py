@@ -11,7 +11,8 @@ class Files:
     def __init__(self, spark: SparkSession, root: str):
         self.jvm = spark._jvm
         self.root = self.jvm.org.apache.hadoop.fs.Path(root)
-        self.fs = self.root.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.conf = spark._jsc.hadoopConfiguration()
+        self.fs = self.root.getFileSystem(self.conf)
         self.root = self.fs.makeQualified(self.root)
 
     def path(self, name: str):
@@ -37,7 +38,11 @@ class Files:
             stream.close()
 
     def put_new(self, name: str, text: str) -> bool:
-        """Writes a file that must not exist; False if it does. It appears whole or not at all."""
+        """Writes a file that must not exist; False if it does. It appears whole or not at all, also if the writer dies half way.
+
+        The text is written beside it first. On a local disk a hard link then publishes it, elsewhere a rename that fails where the
+        target exists: both are one step, and a writer that dies before leaves nothing but a temporary file.
+        """
         if self.exists(name):
             return False
         folder, _, last = name.rpartition("/")
@@ -46,14 +51,21 @@ class Files:
         stream.write(bytearray(text.encode()))
         stream.close()
         try:
-            # exclusive creation decides who wins; the content follows by rename
-            self.fs.create(self.path(f"{folder}/.lock-{last}"), False).close()
+            if self.root.toUri().getScheme() == "file":
+                local = [self.jvm.java.io.File(self.path(x).toUri().getPath()).toPath() for x in (name, temp)]
+                self.jvm.java.nio.file.Files.createLink(*local)
+            else:
+                context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.root.toUri(), self.conf)
+                rename = self.jvm.org.apache.hadoop.fs.Options.Rename
+                none = self.jvm.java.lang.reflect.Array.newInstance(rename.NONE.getClass(), 0)
+                context.rename(self.path(temp), self.path(name), none)
+            return True
         except Exception as e:
-            self.fs.delete(self.path(temp), False)
             if "exist" in str(e).lower():
                 return False
             raise
-        return bool(self.fs.rename(self.path(temp), self.path(name)))
+        finally:
+            self.fs.delete(self.path(temp), False)
 
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)

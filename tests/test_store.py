@@ -189,3 +189,111 @@ def test_queries_with_arguments_quotes_and_plans(users):
     assert users.execute('SELECT "name" FROM "users" WHERE name = \'it\'\'s; -- odd\'').text() == [["it's; -- odd"]]
     assert users.execute("SELECT a.id FROM users a LEFT OUTER JOIN users b ON a.id = b.age WHERE b.id IS NULL ORDER BY 1").text() == [["1"], ["2"], ["3"]]
     assert any("Scan parquet" in r[0] for r in users.execute("EXPLAIN SELECT * FROM users WHERE id = 1").text())
+
+
+def test_commit_survives_a_writer_that_died(users):
+    """What a crash inside a commit leaves (a lock of old, a half-written text) blocks nothing; a version that is taken is never overwritten."""
+    files, now = users.session.db.files, users.session.db.state().version
+    for name in (f"_log/.lock-{now + 1:020d}.json", f"_log/.{now + 1:020d}.json.dead"):
+        files.fs.create(files.path(name), False).close()
+    assert users.execute("DELETE FROM users WHERE id = 1").count == 1
+    assert users.session.db.state().version == now + 1
+    assert not files.put_new(f"_log/{now + 1:020d}.json", "{}")
+    assert len(rows(users)) == 2
+    assert [n for n in files.names("_log") if n.endswith("-") or ".json." in n and "dead" not in n and "crc" not in n] == []
+
+
+def test_commits_from_many_threads(spark, users):
+    """Each has a table of its own: all succeed, by bounded retries."""
+    failed = []
+
+    def work(i):
+        try:
+            Engine(spark, users.session.db).execute(f"CREATE TABLE t{i} (a INT)")
+        except Exception as e:  # noqa: BLE001
+            failed.append(e)
+
+    threads = [threading.Thread(target=work, args=(i,)) for i in range(6)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not failed and {f"t{i}" for i in range(6)} <= set(users.session.list_tables())
+
+
+def test_views_of_the_caller_stay(spark, users):
+    spark.range(5).createOrReplaceTempView("users")
+    try:
+        assert users.execute("SELECT count(*) FROM users").text() == [["3"]]
+        assert users.execute("WITH x AS (SELECT id FROM users) SELECT max(users.id) FROM x JOIN users ON x.id = users.id").text() == [["3"]]
+        assert spark.table("users").count() == 5
+        assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("v_")]
+    finally:
+        spark.catalog.dropTempView("users")
+
+
+def test_read_committed_sees_drops(spark, users):
+    reader = Engine(spark, users.session.db, "read committed")
+    reader.execute("BEGIN")
+    assert reader.execute("SELECT count(*) FROM users").text() == [["3"]]
+    users.execute("DROP TABLE users")
+    with pytest.raises(Exception, match="users"):
+        reader.execute("SELECT count(*) FROM users")
+
+
+def test_unique_index_on_update_and_insert(users):
+    users.execute("CREATE UNIQUE INDEX u ON users (age)")
+    for sql in ("UPDATE users SET age = 1", "UPDATE users SET age = 30 WHERE id = 3", "INSERT INTO users VALUES (7, 'g', 30, TRUE)", "INSERT INTO users VALUES (7, 'g', 8, TRUE), (8, 'h', 8, TRUE)"):
+        with pytest.raises(errors.ConstraintError):
+            users.execute(sql)
+    assert users.execute("UPDATE users SET name = 'same'").count == 3
+    assert users.execute("UPDATE users SET age = age + 1").count == 3
+    assert users.execute("INSERT INTO users VALUES (7, 'g', NULL, TRUE), (8, 'h', NULL, TRUE)").count == 2
+
+
+def test_integers_in_sql(engine):
+    engine.execute("CREATE TABLE t (a INT, b INT, c BIGINT, d DOUBLE)")
+    engine.execute("INSERT INTO t VALUES (7, -2, 9, 5.0), (2147483647 + 1, 3 / 2, -7, 1.0)")
+    assert rows(engine, "SELECT a, b FROM t") == [(-(1 << 31), 1), (7, -2)]
+    assert rows(engine, "SELECT a FROM t WHERE a / 2 = 3") == [(7,)]
+    assert rows(engine, "SELECT a / b, c / 2, d / 2, (a + 1) * (b - 1) / 5, a - b - 1, -a / b * 2 FROM t WHERE a = 7") == [(-3, 4, 2.5, -4, 8, 6)]
+    assert engine.execute("SELECT a / 2, a /* x / y */ + 1 AS n FROM t").rows.dtypes == [("(a / 2)", "int"), ("n", "int")]
+    assert rows(engine, "SELECT CASE WHEN a / 2 > 0 THEN a * 1000000000 ELSE a - 1 END FROM t") == [(-1589934592,), (2147483647,)]
+    assert rows(engine, "SELECT sum(a / 2), count(*) FROM t WHERE EXISTS (SELECT 1 FROM t u WHERE u.a / 2 = 3) AND a IN (SELECT a * 1 FROM t)") == [(3 - (1 << 30), 2)]
+    assert engine.execute("UPDATE t SET b = a + 2147483647 WHERE a / 2 = 3").count == 1
+    assert rows(engine, "SELECT b FROM t WHERE a = 7") == [(-2147483642,)]
+    with pytest.raises(Exception, match="(?i)zero"):
+        engine.execute("SELECT a / 0 FROM t").rows.collect()
+
+
+def test_parameters_in_every_statement(engine):
+    engine.execute("CREATE TABLE t (a INT, s TEXT)")
+    insert = engine.prepare("INSERT INTO t VALUES (?, ?)")
+    for a, s in ((1, "it's"), (None, None), (3, "back\\slash ? :x")):
+        assert insert.execute([a, s]).count == 1
+    assert rows(engine, "SELECT s FROM t WHERE a = 3") == [("back\\slash ? :x",)]
+    assert engine.execute("UPDATE t SET a = :n WHERE s = :s", {"n": 9, "s": "it's"}).count == 1
+    assert engine.execute("SELECT a FROM t WHERE s = ?", ["it's"]).text() == [["9"]]
+    assert engine.execute("DELETE FROM t WHERE a = ?", [9]).count == 1
+    for sql, args in (("SELECT ?", [1, 2]), ("SELECT ?, ?", [1]), ("SELECT :a", {"b": 1}), ("SELECT ?", [object()])):
+        with pytest.raises(errors.SqlError):
+            engine.execute(sql, args)
+
+
+def test_many_rows_of_values(engine):
+    engine.execute("CREATE TABLE t (a INT, s TEXT, b BOOLEAN)")
+    assert engine.execute("INSERT INTO t VALUES " + ", ".join(f"({i}, 'x''{i}', {'TRUE' if i % 2 else 'NULL'})" for i in range(3000))).count == 3000
+    assert engine.execute("SELECT count(*), sum(a), count(b), min(s) FROM t").text() == [["3000", "4498500", "1500", "x'0"]]
+
+
+def test_cursor_and_addresses(users):
+    users.execute("CREATE INDEX by_age ON users (age)")
+    c = users.session.cursor("by_age")
+    assert [r.age for r in c.advance(2)] == [None, -4] and [r.age for r in c.advance(5)] == [30] and c.advance() == []
+    assert [r.age for r in c.back(2)] == [-4, None] and c.seek([0]).age == 30 and c.seek([31]) is None
+    at = users.session.addressed("users").where("id = 2").first()
+    assert [r.name for r in users.session.fetch("users", at.row_file, at.row_index).collect()] == ["Bob"]
+    users.execute("DELETE FROM users WHERE id = 2")
+    assert users.session.fetch("users", at.row_file, at.row_index).count() == 0
+    with pytest.raises(errors.ConflictError):
+        c.advance()
