@@ -26,6 +26,8 @@ from quillon.llm.common import connected_components, cut, ranked
 from quillon.llm.similar import forest
 
 WINDOW, MISS, SIGNS, SEED = 512, 1e-4, 64, 20
+#: The table of crowded stretches is broadcast up to so many rows, of 40 bytes each.
+BROADCAST_ROWS = 1 << 18
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -133,7 +135,10 @@ def find_links(distinct: DataFrame, least: float, window: int = WINDOW, miss: fl
     slim = rows.mapInArrow(_keyed(least, window, miss, False), PLACE)
     crowded = cut(slim.groupBy(*STRETCH).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > window))
     keyed = rows.mapInArrow(_keyed(least, window, miss, True), f"{PLACE}, key long, id long, v array<double>")
-    some = not crowded.isEmpty()
+    few = crowded.count()
+    some = few > 0
+    if few <= BROADCAST_ROWS:  # so that no crowded stretch is dealt out whole
+        crowded = F.broadcast(crowded)
     calm = keyed.join(crowded, STRETCH, "left_anti") if some else keyed
     links = calm.repartition(*STRETCH).sortWithinPartitions(*STRETCH, "key").mapInArrow(_windows(least), "a long, b long")
     if some:
