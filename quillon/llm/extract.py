@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import pieces
+from quillon.llm.common import pieces, spare
 
 TAG = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$))", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -52,11 +52,11 @@ BASE = {"article": 30, "main": 25, "section": 5, "div": 5, "blockquote": 3, "td"
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "mark", "size", "linked", "score", "out", "commas")
+    __slots__ = ("tag", "parent", "items", "mark", "size", "linked", "score", "out")
 
     def __init__(self, tag: str, parent: Node | None, mark: str = ""):
         self.tag, self.parent, self.items, self.mark = tag, parent, [], mark
-        self.size = self.linked = self.commas = 0
+        self.size = self.linked = 0
         self.score = 0.0
         self.out = tag in DROPPED
 
@@ -151,7 +151,7 @@ def _end(now: Node, tags: set[str], barriers: set[str]) -> Node:
 
 
 def _measure(root: Node) -> list[Node]:
-    """Elements in page order; text sizes, link sizes and commas of each, without what is left out."""
+    """Elements in page order; text and link sizes of each, without what is left out."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -166,13 +166,10 @@ def _measure(root: Node) -> list[Node]:
     for node in reversed(order):
         for x in node.items:
             if isinstance(x, str):
-                text = x.strip()
-                node.size += len(text)
-                node.commas += text.count(",") + text.count("、") + text.count("，")
+                node.size += len(x.strip())
             elif not x.out:
                 node.size += x.size
                 node.linked += x.size if x.tag == "a" else x.linked
-                node.commas += x.commas
     return order
 
 
@@ -185,7 +182,7 @@ def _own(node: Node) -> tuple[int, int]:
             if isinstance(x, str):
                 text = x.strip()
                 size += len(text)
-                commas += text.count(",")
+                commas += sum(text.count(c) for c in ",、，")
             elif not x.out and x.tag not in BLOCKS:
                 stack.append(x)
     return size, commas
@@ -271,12 +268,19 @@ def main_text(html: str | None) -> str:
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
-    """`keep` columns, text and n_chars (code points) of every row. A null page has an empty text; repeated rows stay."""
-    rows = pages.select(*keep, F.col(html_col).cast("string").alias("html_of_row"))
+    """`keep` columns, text and n_chars (code points) of every row.
+
+    A null or empty page has an empty text; repeated rows stay; pages of any length are taken whole; no rows give no rows.
+    `keep` can't have columns named text or n_chars, which are the result's.
+    """
+    if {c.lower() for c in keep} & {"text", "n_chars"}:
+        raise ValueError("text and n_chars are columns of the result")
+    (html,) = spare(pages, "html_of_row")
+    rows = pages.select(*keep, F.col(html_col).cast("string").alias(html))
 
     def run(batches):
-        for b in pieces(batches, "html_of_row", 8 << 20):
-            texts = [main_text(h) for h in b.column("html_of_row").to_pylist()]
+        for b in pieces(batches, html, 8 << 20):
+            texts = [main_text(h) for h in b.column(html).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*keep, "text", "n_chars"])
 
     return rows.mapInArrow(run, rows.select(*keep).schema.add("text", "string").add("n_chars", "long"))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -53,3 +54,60 @@ def test_rows(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted(map(tuple, got.collect()), key=str) == [(1, "u", "", 0), (1, "u", f"{LONG} 𝄞", len(LONG) + 2), (None, None, "", 0)]
     assert extract(df.limit(0)).count() == 0
+
+
+class Article(HTMLParser):
+    """A plain version for pages that mark their article: its text, a line for each block."""
+
+    BLOCKS = {"p", "h1", "h2", "h3", "h4", "li", "ul", "ol", "div", "blockquote", "pre", "section", "article", "table", "tr", "td", "th", "figure", "figcaption"}
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.gone, self.lines = 0, 0, [""]
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if self.gone or tag in ("script", "style", "form", "aside", "nav", "footer", "noscript"):
+            self.gone += tag not in ("br", "img", "hr", "wbr", "input", "meta", "link")
+        if tag in self.BLOCKS:
+            self.lines.append("")
+        elif tag == "br":
+            self.lines[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.gone -= bool(self.gone)
+        if tag in self.BLOCKS:
+            self.lines.append("")
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside and not self.gone:
+            self.lines[-1] += data
+
+    def text(self):
+        return "\n".join(x for line in self.lines if (x := " ".join(line.split())))
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_every_page_against_its_article(spark, sf):
+    """Scoring over the whole page finds what a plain version finds that goes by the tag alone."""
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
+    got = {r.page_id: (r.text, r.n_chars) for r in extract(pages).collect()}
+    rows = pages.select("page_id", "html").collect()
+    assert len(got) == len(rows)
+    marked = [r for r in rows if "<article" in r.html]
+    assert len(marked) > 0.2 * len(rows)
+    wrong = [r.page_id for r in marked if got[r.page_id][0] != Article(r.html).text()]
+    assert not wrong
+    assert all(n == len(t) for t, n in got.values())
+
+
+def test_names_and_commas(spark):
+    df = spark.createDataFrame([(1, "<p>x, y</p>", 5)], "page_id long, html string, html_of_row int")
+    assert [tuple(r) for r in extract(df, keep=("page_id", "html_of_row")).collect()] == [(1, 5, "x, y", 4)]
+    with pytest.raises(ValueError):
+        extract(df.withColumnRenamed("html_of_row", "text"), keep=("text",))
+    cjk = "雨、風、雪、雲、霧、虹、星、月、日、川" * 2
+    assert main_text(f"<div><div><p>{cjk}</p></div><div><span>{'y' * 90}</span></div></div>") == cjk
