@@ -14,7 +14,7 @@ from quillon.functions import expressions as E
 from quillon.functions.expressions import col, lit
 from quillon.operators import filters as fb
 from quillon.operators import relational as R
-from quillon.plans.sql import Engine
+from quillon.plans.sql import Engine, Tokens
 from quillon.sources.store import Session
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,20 +45,22 @@ def on_table(name: str, source: str, sql: str, make: Callable[[DataFrame], DataF
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
-def _engine(spark: SparkSession, d: str | None = None) -> Engine:
-    """A new database in the cluster's shared folder: that of checkpoints, else the warehouse; /tmp serves local mode only. d: whose tables to attach."""
+def _engine(spark: SparkSession, d: str | None = None, text: str = "") -> Engine:
+    """A new database in the cluster's shared folder: that of checkpoints, else the warehouse; /tmp serves local mode only. d: from where to attach the tables that `text` names."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.gettempdir() if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local" else spark.conf.get("spark.sql.warehouse.dir")
     e = Engine.create(spark, f"{root}/quillon/{uuid.uuid4().hex}")
-    for t in DRIVER_TABLES if d else ():
-        e.attach(t, table(spark, d, t))
+    words = {t for t, _, _ in Tokens(text).items} if text else set()
+    for t in DRIVER_TABLES:
+        if t in words:
+            e.attach(t, table(spark, d, t))
     return e
 
 
 def through_sql(name: str, text: str, oracle: str | None = None, args: list | dict | None = None) -> None:
     """A query that the engine executes over the driver's tables; DuckDB runs the same text unless told otherwise."""
-    query(text if oracle is None else oracle, name)(lambda spark, d: _engine(spark, d).execute(text, args).rows)
+    query(text if oracle is None else oracle, name)(lambda spark, d: _engine(spark, d, text).execute(text, args).rows)
 
 
 def _plain_names(df: DataFrame) -> DataFrame:
@@ -406,8 +408,9 @@ def isolation_levels(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT * FROM (VALUES (TRUE, 'SELECT')) v(scans, tag)")
 def explain_text(spark: SparkSession, d: str) -> DataFrame:
-    e = _engine(spark, d)
-    plan = e.execute("EXPLAIN SELECT n_name FROM nation WHERE n_regionkey = 1").rows
+    text = "EXPLAIN SELECT n_name FROM nation WHERE n_regionkey = 1"
+    e = _engine(spark, d, text)
+    plan = e.execute(text).rows
     scans = plan.agg(F.max(F.col("plan").contains("PushedFilters: [IsNotNull(n_regionkey), EqualTo(n_regionkey,1)]"))).first()[0]
     return spark.createDataFrame([(scans, e.execute("SELECT 1").tag)], "scans boolean, tag string")
 
