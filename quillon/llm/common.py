@@ -100,22 +100,39 @@ def ranked(df: DataFrame, group: list[str], order: list[str], rank: str, per_buc
     return joined_with(df, inner, [*group, bucket], offset, rank).drop(bucket)
 
 
+#: Nodes of more edges than `HUB` are told their minimum by a broadcast of up to `HUBS` rows; HUB grows with the edges so that no more can exist.
+HUB, HUBS = 512, 1 << 18
+
+
+def _with_least(edges: DataFrame, ends: int, with_self: bool) -> DataFrame:
+    """The edges (u, v) with m, the least neighbour of u, or u itself if that is less. ends: how many rows there are at most.
+
+    A hub's edges stay where they are and get m by a broadcast; only those of other nodes are shuffled to their node.
+    """
+    m = F.least(F.col("u"), F.min("v")) if with_self else F.min("v")
+    low = cut(edges.groupBy("u").agg(m.alias("m"), F.count(F.lit(1)).alias("n")))
+    most = max(HUB, ends // HUBS)
+    hubs = low.where(F.col("n") > most).select("u", "m")
+    if hubs.isEmpty():
+        return edges.join(low.select("u", "m"), "u")
+    rest = edges.join(F.broadcast(hubs), "u", "left_anti").join(low.where(F.col("n") <= most).select("u", "m"), "u")
+    return edges.join(F.broadcast(hubs), "u").unionByName(rest)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in `edges` (long a, long b): the smallest node that links reach.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until no edge
     changes, in O(log^2 n) rounds. Each step is a grouped minimum, which combines a hub's edges on the map
-    side, and a join of the edges with one row a node, in which AQE splits the partition of a hub. Each round is cut.
+    side, and `_with_least`, which gathers no hub. Each round is cut.
     """
     e = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     while mark[0]:
-        both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        big = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(low, "u")
-        e = cut(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct())
+        ends = 2 * mark[0]  # a large star has no more edges than `e`
+        big = cut(_with_least(e.union(e.select("v", "u")), ends, True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small = _with_least(big, ends, False)
+        e = cut(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct())
         was, mark = mark, e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if was == mark:
             break
