@@ -297,3 +297,72 @@ def test_cursor_and_addresses(users):
     assert users.session.fetch("users", at.row_file, at.row_index).count() == 0
     with pytest.raises(errors.ConflictError):
         c.advance()
+
+
+def test_index_work_is_that_of_the_change(users, monkeypatch):
+    from quillon.sources import store
+
+    users.execute("CREATE INDEX by_age ON users (age, id)")
+
+    def runs():
+        return users.session.table_info("users").indexes["by_age"].runs
+
+    def held():
+        """What the index gives is what the table has."""
+        by_index = sorted(map(str, users.session.index("by_age")[0].collect()))
+        assert by_index == sorted(map(str, users.session.table("users").collect()))
+
+    first = set(runs())
+    assert len(first) == 1
+    users.execute("INSERT INTO users VALUES (4, 'Dan', 30, TRUE)")
+    assert first < set(runs()) and len(runs()) == 2
+    held()
+    users.execute("UPDATE users SET age = 31 WHERE id = 4")
+    assert first < set(runs()) and len(runs()) == 2  # the copy of the file that went is dropped
+    held()
+    users.execute("DELETE FROM users WHERE id = 2")
+    held()
+    monkeypatch.setattr(store, "MOST_RUNS", 3)
+    for k in range(10, 15):
+        users.execute(f"INSERT INTO users VALUES ({k}, 'x', {k}, NULL)")
+        assert len(runs()) <= 3
+        held()
+    users.execute("BEGIN")
+    users.execute("DELETE FROM users WHERE age > 11")
+    held()
+    users.execute("ROLLBACK")
+    held()
+    users.execute("DELETE FROM users")
+    assert runs() == {}
+    held()
+
+
+def test_queries_read_by_an_index(users):
+    users.execute("INSERT INTO users SELECT id + 10, name, age, active FROM users")
+    users.execute("CREATE INDEX by_age ON users (age, id)")
+    users.execute("CREATE INDEX by_name ON users (name)")
+
+    def through(sql, args=None):
+        rows_ = users.execute(sql, args).rows
+        kinds = {"by_age" if "/index/by_age/" in f else "by_name" if "/index/by_name/" in f else "table" for f in rows_.inputFiles()}
+        return kinds, sorted(r[0] for r in rows_.collect())
+
+    assert through("SELECT id FROM users") == ({"table"}, [1, 2, 3, 11, 12, 13])
+    assert through("SELECT id FROM users WHERE id = 1") == ({"table"}, [1])
+    assert through("SELECT id FROM users WHERE age = 30") == ({"by_age"}, [1, 11])
+    assert through("SELECT u.id FROM users u WHERE 0 < u.AGE AND u.id = 11") == ({"by_age"}, [11])
+    assert through("SELECT id FROM users WHERE age = -4 OR name = 'Bob'")[1] == [2, 3, 12, 13]
+    assert through('SELECT id FROM users WHERE "name" = ?', ["Ann"]) == ({"by_name"}, [1, 11])
+    assert through("SELECT a.id FROM users a JOIN users b ON a.id = b.id WHERE a.age BETWEEN 0 AND 40")[1] == [1, 11]
+    users.execute("UPDATE users SET age = 5 WHERE id = 11")
+    assert through("SELECT id FROM users WHERE age IN (5, 30)") == ({"by_age"}, [1, 11])
+
+
+def test_row_addresses_of_odd_names(engine):
+    engine.session.create_table("ü t", "a int")
+    engine.session.insert("ü t", [(1,), (2,)])
+    engine.session.create_index("i", "ü t", ["a"])
+    at = engine.session.addressed("ü t").where("a = 2").first()
+    assert [r.a for r in engine.session.fetch("ü t", at.row_file, at.row_index).collect()] == [2]
+    engine.session.delete("ü t", "a = 1")
+    assert [r.a for r in engine.session.lookup_range("i", [0]).collect()] == [2]
