@@ -102,9 +102,14 @@ def _verified(x: np.ndarray, least: int, bits: int) -> np.ndarray:
     return near
 
 
-def _forest(fp: np.ndarray, least: int, bits: int) -> list[tuple[int, int]]:
-    """For each component of the verified links of one posting list, edges from its first member to the others."""
-    near = _verified(fp[:, None] ^ fp[None, :], least, bits)
+def _forest(fp: np.ndarray, least: int, bits: int, rows: int = 128) -> list[tuple[int, int]]:
+    """For each component of the verified links of one posting list, edges from its first member to the others.
+
+    XORs are held for so many `rows` of the list at a time, and one byte for each of its pairs.
+    """
+    near = np.empty((len(fp), len(fp)), bool)
+    for at in range(0, len(fp), rows):
+        near[at : at + rows] = _verified(fp[at : at + rows, None] ^ fp[None, :], least, bits)
     left, out = np.ones(len(fp), bool), []
     for root in range(len(fp)):
         if not left[root]:
