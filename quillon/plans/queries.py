@@ -367,7 +367,7 @@ def index_maintained(spark: SparkSession, d: str) -> DataFrame:
     return e.session.lookup("by_region", [2])
 
 
-@query("SELECT * FROM (VALUES ('n', 0), ('again', 1)) v(table_name, indexes)")
+@query("SELECT * FROM (VALUES ('n', 0::BIGINT), ('again', 1::BIGINT)) v(table_name, indexes)")
 def drop_and_create(spark: SparkSession, d: str) -> DataFrame:
     e = _nation(spark, d)
     for s in ("CREATE TABLE gone (a INT)", "CREATE INDEX i ON n (k)", "DROP INDEX i", "DROP TABLE gone", "DROP TABLE IF EXISTS gone", "CREATE TABLE again (a INT, b DOUBLE PRECISION)", "CREATE UNIQUE INDEX j ON again (b, a)"):
