@@ -226,12 +226,20 @@ def _postings(n_words: int, similarity: float, common, bits: int):
     """(bucket, kind, data): postings packed by bucket (kind 0), and of lists that are long in this task pairs (1) and members (2)."""
 
     def pack(held, turn):
-        key, node, n, at = (np.concatenate(c) for c in zip(*held))
+        """Empties `held`, so that a task has its postings in memory once, not twice."""
+        size = np.array([len(keys) for keys, _, _ in held])
+        key = np.concatenate([keys for keys, _, _ in held])
+        of = np.array([(node, min(n, N_MAX)) for _, node, n in held], np.int64)
+        held.clear()
+        at = np.minimum(np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size), AT_MAX).astype(np.int32)
         # a hash's low bits are the bucket and its high bits the key there, which is enough: what meets by chance is ruled out later
         key = ((key << np.uint64(64 - bits)) >> np.uint64(24 - bits)) | (key >> np.uint64(24))
-        x = {"key": key.view(np.int64), "node": node, "n": np.minimum(n, N_MAX), "at": np.minimum(at, AT_MAX), "stands": np.zeros(len(key), bool)}
+        x = {"key": key.view(np.int64), "node": np.repeat(of[:, 0], size), "n": np.repeat(of[:, 1].astype(np.int32), size), "at": at, "stands": np.zeros(len(key), bool)}
+        del key, at
         order = np.lexsort((x["node"], x["key"]))
-        x = {c: v[order] for c, v in x.items()}
+        for c in x:
+            x[c] = x[c][order]
+        del order
         star, _, members, keep, stands = lists_of(x, similarity)
         out = np.empty(int(keep.sum()), POSTING)
         key = x["key"][keep]
@@ -256,12 +264,11 @@ def _postings(n_words: int, similarity: float, common, bits: int):
                     continue
                 seen.add(node)
                 keys = prefix(h, similarity, known, rank)
-                m = len(keys)
-                held.append((keys, np.full(m, node, np.int64), np.full(m, len(h), np.int64), np.arange(m)))
-                total += m
+                held.append((keys.copy(), node, len(h)))  # a copy, which doesn't keep the whole set
+                total += len(keys)
                 if total >= PACKED:
                     yield from pack(held, turn)
-                    held, total, turn, seen = [], 0, turn + total, set()
+                    total, turn, seen = 0, turn + total, set()
         if held:
             yield from pack(held, turn)
 
