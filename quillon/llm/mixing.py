@@ -24,14 +24,16 @@ import heapq
 import math
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, ranked, spare
+from quillon.llm.common import cut, numbered, ranked, spare
 
 LAST = (1 << 63) - 1
 #: Tables of a plan are broadcast up to so many rows, of 32 bytes each.
 BROADCAST_ROWS = 1 << 18
+#: Whole rows are dealt straight to their place in the order where sources x partitions are no more; beyond that they are shuffled twice.
+BOUNDS = 1 << 16
 
 
 def play(shares: list[int], left: list[int], most: int) -> list[list[int]]:
@@ -95,18 +97,18 @@ def _key(id_col: str, text_col: str) -> Column:
     return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("binary"))
 
 
-def _scheduled(rows: DataFrame, key: str, source_col: str, weights: dict[str | None, float] | None, block_docs: int, max_sources: int, max_plan: int) -> tuple[DataFrame, dict[str, str]]:
-    """`rows` with block, release, deadline, slot and place under names that are free, and these names. key: an md5 column."""
+def _played(rows: DataFrame, source_col: str, weights: dict[str | None, float] | None, block_docs: int, max_sources: int, max_plan: int) -> tuple[DataFrame, DataFrame, dict[str, str], int, int, bool]:
+    """The plan's spans and slots, the names of their columns and of those that `_placed` adds (free in `rows`), how many sources and slots there are, and whether both tables are broadcast."""
     names_of = dict(zip((want := ("name", "block", "release", "deadline", "slot", "place", "rank", "p", "s", "lo", "hi", "q", "total", "start", "j", "t")), spare(rows, *want)))
     n = names_of
-    rows = rows.withColumn(n["name"], F.col(source_col).cast("string"))
-    sizes = rows.groupBy(n["name"]).agg(F.count(F.lit(1)).alias("size")).limit(max_sources + 1).collect()
+    sizes = rows.groupBy(F.col(source_col).cast("string").alias(n["name"])).agg(F.count(F.lit(1)).alias("size")).limit(max_sources + 1).collect()
     if len(sizes) > max_sources:
         raise ValueError(f"over {max_sources} sources")
     sizes = sorted(sizes, key=lambda r: (r[0] is not None, r[0] or ""))
     names = [r[0] for r in sizes]
     shares = whole_shares(weights or dict.fromkeys(names, 1), names)
-    phases = plan([-(-r["size"] // block_docs) for r in sizes], shares, max_plan)
+    blocks = [-(-r["size"] // block_docs) for r in sizes]
+    phases = plan(blocks, shares, max_plan)
     spans, slots = [], []
     for p, (start, used, now, table) in enumerate(phases):
         after, total = phases[p + 1][1] if p + 1 < len(phases) else None, sum(now)
@@ -119,12 +121,17 @@ def _scheduled(rows: DataFrame, key: str, source_col: str, weights: dict[str | N
     slot = spark.createDataFrame(slots, "p int, s int, j long, t long")
     span = span.select(*[F.col(c).alias(n[c] if c != "name" else n["name"] + "_of") for c in span.columns])
     slot = slot.select(*[F.col(c).alias(n[c]) for c in slot.columns])
-    c = {k: F.col(v) for k, v in n.items()}
-    rows = ranked(rows, [n["name"]], [key], n["rank"]).withColumns({n["block"]: F.floor(c["rank"] / block_docs).cast("long"), n["place"]: (c["rank"] % block_docs).cast("long")})
     if len(spans) <= BROADCAST_ROWS:
         span = F.broadcast(span)
     if len(slots) <= BROADCAST_ROWS:
         slot = F.broadcast(slot)
+    return span, slot, n, len(names), sum(blocks), max(len(spans), len(slots)) <= BROADCAST_ROWS
+
+
+def _placed(rows: DataFrame, span: DataFrame, slot: DataFrame, n: dict[str, str], block_docs: int) -> DataFrame:
+    """`rows` (with name and rank) with block, release, deadline, slot and place."""
+    c = {k: F.col(v) for k, v in n.items()}
+    rows = rows.withColumns({n["block"]: F.floor(c["rank"] / block_docs).cast("long"), n["place"]: (c["rank"] % block_docs).cast("long")})
     rows = rows.join(span, c["name"].eqNullSafe(F.col(n["name"] + "_of")) & (c["block"] >= c["lo"]) & (c["block"] < c["hi"]))
     rows = rows.withColumn(n["j"], (c["block"] - c["lo"]) % c["q"]).join(slot, [n["p"], n["s"], n["j"]])
     whole = {k: f"`{v}`" for k, v in n.items()}
@@ -134,7 +141,7 @@ def _scheduled(rows: DataFrame, key: str, source_col: str, weights: dict[str | N
             n["deadline"]: F.expr("{start} + (({block} - {lo} + 1) * {total} + {q} - 1) div {q}".format(**whole)),
             n["slot"]: F.expr("{start} + (({block} - {lo}) div {q}) * {total} + {t}".format(**whole)),
         }
-    ), n
+    )
 
 
 def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, block_docs: int = 4, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_sources: int = 10_000, max_plan: int = 1_000_000) -> DataFrame:
@@ -145,15 +152,67 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, bl
     rows that repeat both are alike. Texts of any length are hashed whole. No rows give no rows.
     """
     rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), _key(id_col, text_col).alias("key")))
-    rows, n = _scheduled(rows, "key", "source", weights, block_docs, max_sources, max_plan)
+    span, slot, n, *_ = _played(rows, "source", weights, block_docs, max_sources, max_plan)
+    rows = ranked(rows.withColumn(n["name"], F.col("source").cast("string")), [n["name"]], ["key"], n["rank"])
+    rows = _placed(rows, span, slot, n, block_docs)
     return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), *[F.col(n[c]).alias(c) for c in ("block", "release", "deadline", "slot", "place")])
 
 
+def _cell(key: Column, cells: int) -> Column:
+    """The one of so many equal stretches of md5 hex strings that `key` lies in."""
+    return F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * cells / (1 << 32)).cast("int")
+
+
+def _cells(starts: list[Row], cells: int) -> list[tuple[str | None, int, int, list[tuple[str, int, int]]]]:
+    """For each source and cell the part that the cell begins in, and where in the cell others begin. starts: (source, part, least key, its at)."""
+    out = []
+    for name in {r[0] for r in starts}:
+        own = sorted((p, k, a) for s, p, k, a in starts if s == name)
+        base, i = own[0][0], 0
+        for c in range(cells):
+            more = []
+            while i < len(own) and (int(own[i][1][:8], 16) * cells) >> 32 == c:
+                p, k, a = own[i]
+                more.append((k, a, p))
+                i += 1
+            out.append((name, c, base, more))
+            base = more[-1][2] if more else base
+    return out
+
+
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_docs: int = 4, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_sources: int = 10_000, max_plan: int = 1_000_000) -> DataFrame:
-    """`docs`, all rows and columns, sorted into the mixture's order: written, its files hold the training order."""
-    key = spare(docs, "key")[0]
-    rows, n = _scheduled(docs.withColumn(key, _key(id_col, text_col)), key, source_col, weights, block_docs, max_sources, max_plan)
-    return rows.orderBy(n["slot"], n["place"]).select(*docs.columns)
+    """`docs`, all rows and columns, sorted into the mixture's order: written, its files hold the training order.
+
+    Keys alone are scheduled first. They tell where in each source's order a partition of the result begins, so whole rows are
+    shuffled once, straight to their partition, and find their slot there. `docs` is stored first if it isn't a table just read.
+    """
+    key, at, part, part_of, cell, cell_of, base, more, first = spare(docs, "key", "at", "part", "part_of", "cell", "cell_of", "base", "more", "first")
+    docs = numbered(docs, at).withColumn(key, _key(id_col, text_col))
+    slim = cut(docs.select(F.col(source_col).cast("string").alias("source"), key, at))
+    span, slot, n, sources, total, small = _played(docs, source_col, weights, block_docs, max_sources, max_plan)
+    keys = ranked(slim.withColumnRenamed("source", n["name"]), [n["name"]], [key, at], n["rank"])
+    keys = _placed(keys, span, slot, n, block_docs)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [c for c in docs.columns if c not in (key, at)]
+    if not small or sources * parts > BOUNDS:
+        return docs.drop(key).join(keys.select(at, n["slot"], n["place"]), at).orderBy(n["slot"], n["place"]).select(*names)
+    keys = keys.withColumn(part, F.floor(F.col(n["slot"]) * parts / max(1, total)).cast("int"))
+    starts = cut(keys.groupBy(n["name"], part).agg(F.min(F.struct(key, at)).alias(first), F.min(n["rank"]).alias(n["rank"])))
+    cells = min(4 * parts, max(1, BOUNDS // max(1, sources)))
+    found = _cells(starts.select(n["name"], part, f"{first}.*").collect(), cells)
+    spark, name_of = docs.sparkSession, n["name"] + "_of"
+    look = spark.createDataFrame(found, "name string, cell int, base int, more array<struct<key string, at long, part int>>").toDF(name_of, cell, base, more)
+    own = F.struct(F.col(key).alias("key"), F.col(at).alias("at"))
+    rows = docs.withColumn(n["name"], F.col(source_col).cast("string")).withColumn(cell_of, _cell(F.col(key), cells))
+    rows = rows.join(F.broadcast(look), F.col(n["name"]).eqNullSafe(F.col(name_of)) & (F.col(cell_of) == F.col(cell)))
+    rows = rows.withColumn(part, F.aggregate(more, F.col(base), lambda p, x: F.when(F.struct(x["key"], x["at"]) <= own, x["part"]).otherwise(p)))
+    rows = rows.select(*names, key, at, n["name"], part).repartitionById(parts, F.col(part))
+    inside = Window.partitionBy(n["name"], part).orderBy(key, at)
+    rows = rows.withColumn(n["block"], F.row_number().over(inside) - 1)  # as yet the place among those of its source here
+    starts = F.broadcast(starts.select(F.col(n["name"]).alias(name_of), F.col(part).alias(part_of), n["rank"]))
+    rows = rows.join(starts, F.col(n["name"]).eqNullSafe(F.col(name_of)) & (F.col(part) == F.col(part_of))).drop(name_of)
+    rows = rows.withColumn(n["rank"], F.col(n["rank"]) + F.col(n["block"]))
+    return _placed(rows, span, slot, n, block_docs).sortWithinPartitions(n["slot"], n["place"]).select(*names)
 
 
 def schedule_sql(weight: str, block_docs: int = 4) -> str:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import pre_tokenizers
 
-from quillon.llm.common import cut, pieces, ranked, spare, stored
+from quillon.llm.common import cut, numbered, pieces, ranked, spare
 
 #: How byte-level BPE vocabularies of this family split a text before merging (a fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -186,24 +186,6 @@ def pack_documents(docs: DataFrame, path: str | None = None, size: int = 1024, i
     return pack(cut_pieces(docs, path or tokenizer_path(), size, id_col, text_col), size)
 
 
-def numbered(docs: DataFrame, at: str) -> DataFrame:
-    """Adds `at`: the place of each row in the order of `docs`, from 0.
-
-    That of files and of rows in them if `docs` is a table just read, which Spark may read in any order; any other frame is stored first.
-    """
-    plan = docs._jdf.queryExecution().analyzed()
-    if plan.nodeName() != "LogicalRelation" or not docs.inputFiles():
-        docs = stored(docs)
-    path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
-    part = F.regexp_extract(F.regexp_extract(path, "[^/]*$", 0), r"^part-(\d+)", 1)
-    rows = docs.select("*", path.alias("file__"), row.alias("row__"))
-    sizes = docs.select(path.alias("f__"), row.alias("row__"), F.coalesce(F.nullif(part, F.lit("")).cast("long"), F.lit(-1)).alias("part__"))
-    sizes = sizes.groupBy("f__", "part__").agg((F.max("row__") + 1).alias("size__"))
-    before = Window.orderBy("part__", "f__").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
-    first = sizes.select("f__", F.coalesce(F.sum("size__").over(before), F.lit(0)).alias("first__"))
-    return rows.join(F.broadcast(first), F.col("file__") == F.col("f__")).select(*docs.columns, (F.col("first__") + F.col("row__")).cast("long").alias(at))
-
-
 def _pack_span(size: int):
     """Adds sequence (from 0, by the first document in it) and offset to the pieces of a span."""
 

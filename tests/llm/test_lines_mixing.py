@@ -179,3 +179,37 @@ def test_sql_says_the_same(spark):
     for got, sql in ((L.dedup_lines(docs, 2, counts=True).select("doc_id", "text", "n_lines", "n_removed"), L.line_dedup_sql(2)), (M.schedule(docs, block_docs=2), M.schedule_sql("1", 2))):
         want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall()
         assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def exchanges(plan, column):
+    """How many shuffles of a physical plan carry `column`."""
+    own = plan.nodeName() == "Exchange" and any(plan.output().apply(i).name() == column for i in range(plan.output().size()))
+    return own + sum(exchanges(plan.children().apply(i), column) for i in range(plan.children().size()))
+
+
+def test_mix_shuffles_whole_rows_once(spark, tmp_path):
+    spark.createDataFrame(mix_rows(), "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables of any size
+        assert exchanges(M.mix(df, M.stepped_weights(df))._jdf.queryExecution().executedPlan(), "text") == 1
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("bounds", [1 << 16, 30, 0])
+def test_files_of_mix_hold_the_schedule(spark, tmp_path, monkeypatch, bounds):
+    """In one shuffle, with few cells, and in two shuffles; rows that tie in all but `more` are all there."""
+    monkeypatch.setattr(M, "BOUNDS", bounds)
+    rows = [(i % 900, None if i % 7 == 0 else f"s{i % 3}", "same" if i % 5 == 0 else f"t{i % 900}", i) for i in range(2_000)]
+    rows += [(-1, "s1", "copy", i) for i in range(2_000, 2_700)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string, part int").repartition(5).write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    M.mix(df, M.stepped_weights(df)).write.parquet(f"{tmp_path}/mixed")
+    got = [r for f in sorted(tmp_path.glob("mixed/part-*")) for r in spark.read.parquet(str(f)).coalesce(1).collect()]
+    assert sorted(r.part for r in got) == [r[3] for r in rows] and got[0].__fields__ == df.columns
+    want = M.schedule(df, M.stepped_weights(df)).orderBy("slot", "place").collect()
+    assert [(r.doc_id, r.source) for r in got] == [(r.doc_id, r.source) for r in want]
