@@ -2,13 +2,12 @@
 
 A recording's spectrum is folded into twelve pitch classes a frame. Sixteen box filters over
 this image, evaluated on its integral image, are quantised to two Gray-coded bits each: one packed
-32-bit integer a frame. Runs of RUN integers, winnowed so that any RUN + WINNOW - 1 that two recordings
-share in a row have a common one, are the index; a shorter recording is one run. Recordings that meet there are aligned: equal integers vote in a
-histogram of offsets, and the bit errors over the overlap at the best offset decide.
+32-bit integer a frame. Recordings that share an integer, however few, are aligned: equal integers vote in a
+histogram of offsets, and the bit errors over the overlap at the best offset decide. Parts of the recordings meet in
+pairs, so no match is missed; an index of integers finds the pairs of two parts that have a vote.
 
-Each recording of a list meets the groups that the list has so far, and the members of a group in turn until one matches: a
-group of copies costs one comparison each and yields one link each, never all pairs, and no match is missed that would
-join two groups. Equal fingerprints are one recording with several ids.
+Pairs that something joins already aren't compared, and a block of parts yields a forest of its links, never all pairs.
+Equal fingerprints are one recording with several ids.
 """
 
 from __future__ import annotations
@@ -23,10 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import connected_components, cut
+from quillon.llm.common import connected_components, cut, spread
 
 FRAME, HOP, WIDTH = 512, 128, 8
-RUN, WINNOW = 12, 8
 #: Steps of the log ratios; 0, where a filter sees no energy, lies between two of them.
 LEVELS = (-0.7, 0.05, 0.7)
 
@@ -155,135 +153,142 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
 
 
 def run_keys(codes: np.ndarray) -> np.ndarray:
-    """The winnowed 64-bit keys of runs of RUN integers (of all, if there are fewer), each once."""
-    if not len(codes):
-        return np.zeros(0, np.int64)
-    run = min(RUN, len(codes))
-    h = np.full(len(codes) - run + 1, run, np.uint64)
-    for k in range(run):
-        h = (h ^ codes[k : len(codes) - run + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(31)
-    if len(h) <= WINNOW:
-        return np.array([h.min()]).view(np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(h, WINNOW)
-    return np.unique(view.min(1)).view(np.int64)
-
-
-def _postings(batches):
-    for b in batches:
-        keys, picks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, codes in enumerate(b.column("codes")):
-            keys.append(run_keys(np.asarray(codes.values).view(np.uint32)))
-            picks.append(np.full(len(keys[-1]), i))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), b.column("id").take(pa.array(np.concatenate(picks)))], ["key", "id"])
-
-
-def forest(codes: list[np.ndarray], first: list[int], second: list[int] | None, most_error: float, least_overlap: float) -> list[tuple[int, int, int, float]]:
-    """(i, j, offset, error): a forest of the matches of each recording in `second` with those in `first`, or without `second` of those in `first` with each other.
-
-    Each recording meets the members of every group that it isn't in yet, in order, until one matches: a group of
-    copies costs one comparison each, and no pair of groups that a match would join stays apart.
+    """What two recordings must share one of, or no offset gets a vote: the integers, each once."""
+    return np.unique(codes).astype(np.int64)
+
+
+def _meetings(first: list[np.ndarray], second: list[np.ndarray] | None, root: np.ndarray, most: int):
+    """(i, j, offset) of pairs that share an integer, i in `first` and j in `second` (without it: j > i in `first`): as `align` has it, all pairs of some i at a time.
+
+    Pairs of one `root` (of `first`, then of `second`) by then are left out. An i with over `most` votes goes through `align`, one j after the other.
+    """
+    other = first if second is None else second
+    theirs = root[len(first) :] if second is not None else root  # a view
+    size = np.array([len(c) for c in other])
+    code = np.concatenate(other)
+    of, at = np.repeat(np.arange(len(other)), size), np.concatenate([np.arange(n) for n in size])
+    order = np.argsort(code, kind="stable")
+    code, of, at = code[order], of[order], at[order]
+    own, whose = np.concatenate(first), np.repeat(np.arange(len(first)), [len(c) for c in first])
+    place = np.concatenate([np.arange(len(c)) for c in first])
+    lo = np.searchsorted(code, own, "left")
+    votes = np.searchsorted(code, own, "right") - lo
+    total = np.append(0, np.cumsum(np.bincount(whose, votes, len(first)).astype(np.int64)))
+    begins = np.searchsorted(whose, np.arange(len(first) + 1))
+    i = 0
+    while i < len(first):
+        to = max(i + 1, int(np.searchsorted(total, total[i] + most, "right")) - 1)
+        r = slice(begins[i], begins[to])
+        if total[to] - total[i] > most:
+            met = np.unique(of[spread(lo[r], votes[r])])
+            met = met[(theirs[met] != root[i]) & ((met > i) | (second is not None))]
+            yield np.full(len(met), i), met, np.array([align(first[i], other[j])[0] for j in met.tolist()], np.int64)
+        else:
+            hit = spread(lo[r], votes[r])
+            x, y, d = np.repeat(whose[r], votes[r]), of[hit], np.repeat(place[r], votes[r]) - at[hit]
+            apart = (theirs[y] != root[x]) & ((y > x) | (second is not None))
+            x, y, d = x[apart], y[apart], d[apart]
+            if len(x):
+                # votes by pair and offset; of a pair's, the most, then the least offset, then a negative one
+                low, wide = int(d.min()), int(d.max() - d.min()) + 1
+                key, n = np.unique(((x - i) * len(other) + y) * wide + (d - low), return_counts=True)
+                pair, d = key // wide, key % wide + low
+                best = np.lexsort((d, np.abs(d), -n, pair))
+                best = best[np.append(True, np.diff(pair[best]) != 0)]
+                yield i + pair[best] // len(other), pair[best] % len(other), d[best]
+        i = to
+
+
+def _bit_errors(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, overlap: np.ndarray) -> np.ndarray:
+    """Differing bits of stretches of `overlap` integers."""
+    wrong = np.bitwise_count(a[spread(a_at, overlap)] ^ b[spread(b_at, overlap)])
+    return np.add.reduceat(wrong, np.cumsum(overlap) - overlap, dtype=np.int64)
+
+
+def forest(first: list[np.ndarray], second: list[np.ndarray] | None, most_error: float, least_overlap: float, most: int = 1 << 18) -> list[tuple[int, int, int, float]]:
+    """(i, j, offset, error): a forest of the matches of recordings in `first` with those in `second`, or without `second` with each other.
+
+    Every pair that shares an integer is aligned, so long as nothing joins the two already. Members of `second` count on from those of `first`.
     """
-    group = {i: [i] for i in (*first, *(second or ()))}  # shared by its members
-    side, out = set(first), []
-
-    def meet(j: int, others: list[int]) -> None:
-        met: set[int] = set()
-        for i in others:
-            own = group[i]
-            if own is group[j] or own[0] in met:
-                continue
-            met.add(own[0])
-            for k in own:
-                if second is not None and k not in side:
-                    continue
-                x, y = min(k, j), max(k, j)
-                offset, overlap, error = align(codes[x], codes[y])
-                if overlap >= least_overlap * min(len(codes[x]), len(codes[y])) and error <= most_error:
-                    out.append((x, y, offset, error))
-                    joined = sorted(own + group[j])
-                    for m in joined:
-                        group[m] = joined
-                    break
-
-    for n, j in enumerate(first if second is None else second):
-        meet(j, first[:n] if second is None else first)
+    if not len(first) or second is not None and not len(second):
+        return []
+    other, shift = (first, 0) if second is None else (second, len(first))
+    a, b = np.concatenate(first), np.concatenate(other)
+    n, m = np.array([len(c) for c in first]), np.array([len(c) for c in other])
+    a0, b0 = np.cumsum(n) - n, np.cumsum(m) - m
+    root = np.arange(len(first) + (len(second) if second is not None else 0))
+    out = []
+    for i, j, d in _meetings(first, second, root, most):
+        x, y = np.maximum(d, 0), np.maximum(-d, 0)
+        overlap = np.minimum(n[i] - x, m[j] - y)
+        some = np.flatnonzero((overlap >= least_overlap * np.minimum(n[i], m[j])) & (root[i] != root[j + shift]))
+        stops = np.cumsum(overlap[some])
+        while len(some):
+            k = max(1, int(np.searchsorted(stops, stops[0] - overlap[some[0]] + 4 * most, "right")))
+            part, some, stops = some[:k], some[k:], stops[k:]
+            error = _bit_errors(a, a0[i[part]] + x[part], b, b0[j[part]] + y[part], overlap[part]) / (32 * overlap[part])
+            for p, e in zip(part[error <= most_error].tolist(), error[error <= most_error].tolist()):
+                u, v = root[i[p]], root[j[p] + shift]
+                if u != v:
+                    out.append((int(i[p]), int(j[p]) + shift, int(d[p]), e))
+                    root[root == max(u, v)] = min(u, v)
     return out
 
 
 KIND = "a long, b long, offset long, error double"
 
 
-def _linked(ids: np.ndarray, codes: list, first, second, most_error: float, least_overlap: float) -> pa.RecordBatch:
-    a, b, off, err = list(zip(*forest(codes, first, second, most_error, least_overlap))) or ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(ids[list(a)], pa.int64()), pa.array(ids[list(b)], pa.int64()), pa.array(off, pa.int64()), pa.array(err, pa.float64())], ["a", "b", "offset", "error"])
-
-
 def _codes(col: pa.Array) -> list[np.ndarray]:
     return [np.asarray(c.values).view(np.uint32) for c in col]
 
 
-def _matches(most_error: float, least_overlap: float):
-    """Lists of bounded length, in the order of (key, place): the forest of each."""
-
-    def run(batches):
-        now, ids, codes = None, [], []
-        for batch in batches:
-            new = zip(batch.column("key").to_pylist(), batch.column("id").to_pylist(), _codes(batch.column("codes")))
-            for key, rec, c in new:
-                if key != now:
-                    if len(ids) > 1:
-                        yield _linked(np.array(ids), codes, list(range(len(ids))), None, most_error, least_overlap)
-                    now, ids, codes = key, [], []
-                ids.append(rec)
-                codes.append(c.copy())
-        if len(ids) > 1:
-            yield _linked(np.array(ids), codes, list(range(len(ids))), None, most_error, least_overlap)
-
-    return run
-
-
 def _block(most_error: float, least_overlap: float):
-    """Two parts of a long list, or one with itself."""
+    """Two parts of the recordings, or one with itself. a is the one before by (least, sha)."""
 
     def run(key, table):
-        i, j = key[1].as_py(), key[2].as_py()
+        i, j = key[0].as_py(), key[1].as_py()
         table = table.sort_by([("least", "ascending"), ("sha", "ascending")])
-        part = np.asarray(table.column("part").combine_chunks())
-        first, second = np.flatnonzero(part == i).tolist(), np.flatnonzero(part == j).tolist()
-        ids = np.asarray(table.column("id").combine_chunks())
-        return pa.Table.from_batches([_linked(ids, _codes(table.column("codes").combine_chunks()), first, None if i == j else second, most_error, least_overlap)])
+        part, ids = np.asarray(table.column("part").combine_chunks()), np.asarray(table.column("id").combine_chunks())
+        codes = _codes(table.column("codes").combine_chunks())
+        if i == j:
+            links = forest(codes, None, most_error, least_overlap)
+        else:
+            own, other = np.flatnonzero(part == i), np.flatnonzero(part == j)
+            place = np.append(own, other)
+            links = []
+            for x, y, offset, error in forest([codes[k] for k in own], [codes[k] for k in other], most_error, least_overlap):
+                x, y = int(place[x]), int(place[y])
+                if x > y:  # a tie of offsets is broken from the earlier one's side
+                    x, y = y, x
+                    offset, _, error = align(codes[x], codes[y])
+                links.append((x, y, offset, error))
+        a, b, off, err = list(zip(*links)) or ((), (), (), ())
+        return pa.table({"a": pa.array(ids[list(a)], pa.int64()), "b": pa.array(ids[list(b)], pa.int64()), "offset": pa.array(off, pa.int64()), "error": pa.array(err, pa.float64())})
 
     return run
 
 
-def link_recordings(distinct: DataFrame, most_error: float, least_overlap: float, most: int = 512) -> DataFrame:
+def link_recordings(distinct: DataFrame, most_error: float, least_overlap: float, most: int = 1 << 14) -> DataFrame:
     """(a, b, offset, error): matches that join whatever matches among the recordings (id, least, sha, codes).
 
-    A list of up to `most` recordings is one task's; a longer one is cut into parts by hash, and each pair of parts is a task.
+    They are cut into parts of about `most` by hash, and each pair of parts is a task: all pairs that share an integer are compared,
+    which grows with the square of the recordings.
     """
-    posts = cut(distinct.select("id", "codes").mapInArrow(_postings, "key long, id long"))
-    sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    posts = cut(posts.join(sizes, "key"))
-    short = posts.where(F.col("size") <= most).select("key", "id").join(distinct, "id").select("key", "id", "least", "sha", "codes")
-    links = short.repartition("key").sortWithinPartitions("key", "least", "sha").mapInArrow(_matches(most_error, least_overlap), KIND)
-    long = posts.where(F.col("size") > most)
-    if not long.isEmpty():
-        of = F.ceil(F.col("size") / most)
-        parted = long.join(distinct.select("id", "least", "sha"), "id").withColumn("of", of).withColumn("part", F.pmod(F.xxhash64("sha"), F.col("of")).cast("int"))
-        other = parted.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("of") - 1).cast("int"))))
-        sides = other.select("key", "id", "least", "sha", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-        links = links.union(sides.join(distinct.select("id", "codes"), "id").groupBy("key", "i", "j").applyInArrow(_block(most_error, least_overlap), KIND))
-    return links.distinct()
-
-
-def align_recordings(media: DataFrame, id_col: str = "rec_id", media_col: str = "media", decode: Callable = from_wav, most_error: float = 0.2, least_overlap: float = 0.5, most: int = 512) -> DataFrame:
+    total = distinct.count()
+    parts = max(1, -(-total // most), min(8, -(-total // 512)))
+    parted = distinct.withColumn("part", F.pmod(F.xxhash64("sha"), F.lit(parts)).cast("int"))
+    other = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    sides = other.select("id", "least", "sha", "codes", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    return sides.groupBy("i", "j").applyInArrow(_block(most_error, least_overlap), KIND)
+
+
+def align_recordings(media: DataFrame, id_col: str = "rec_id", media_col: str = "media", decode: Callable = from_wav, most_error: float = 0.2, least_overlap: float = 0.5, most: int = 1 << 14) -> DataFrame:
     """(id_col, n_codes, codes_sha256, group_id, aligned_to, offset, bit_error), one row for each row of `media`.
 
     group_id is the smallest id that links reach, the own id without links; aligned_to is, of the recordings before it that
     it was compared with and matched, the one with the fewest bit errors (then the smallest id), at `offset` frames; null for those that
     matched none. Silent, null and unreadable media have no codes and link with nothing. Rows of equal fingerprints share a group; repeated and
-    null ids are kept. Recordings of any length are taken whole; one of fewer than RUN codes meets only those of which it is the first run.
+    null ids are kept. Recordings of any length are taken whole.
     No rows give no rows.
     """
     prints = cut(fingerprints(media, id_col, media_col, decode).withColumn("n", F.size("codes")).withColumn("sha", F.sha2(F.array_join(F.transform("codes", lambda c: F.hex(c)), ",").cast("binary"), 256)))

@@ -162,3 +162,38 @@ def test_empty(spark):
 def test_short_sounds(n):
     frames = (n - A.FRAME) // A.HOP + 1 if n >= A.FRAME else 0
     assert len(A.codes_of(np.sin(np.arange(n)), 4000)) == max(0, frames - A.WIDTH + 1)
+
+
+@pytest.mark.parametrize("most", [512, 8])
+def test_links_without_a_common_run(spark, most):
+    """Takes with a bit wrong in most integers, and short clips from the middle, share no long run; all pairs are held against `align`."""
+    g = np.random.default_rng(6)
+    recs = []
+    for n in (3, 9, 40, 90, 90, 200):
+        one = g.integers(1 << 32, size=n, dtype=np.uint32)
+        recs.append(one)
+        for _ in range(3):
+            spoilt = one ^ (np.uint32(1) << g.integers(32, size=n).astype(np.uint32))
+            kept = g.choice(n, max(1, n // 12), replace=False)
+            spoilt[kept] = one[kept]
+            recs.append(spoilt)
+        recs += [one[n // 3 : n // 3 + 7], np.append(g.integers(1 << 32, size=n, dtype=np.uint32), one[: n // 2])]
+    recs += [np.array([7, 7, 7, 8] * 30, np.uint32), np.array([8, 7, 7] * 20, np.uint32)]
+    recs = [recs[i] for i in g.permutation(len(recs))]
+    want = list(range(len(recs)))
+    for j, y in enumerate(recs):
+        for i, x in enumerate(recs[:j]):
+            _, overlap, error = A.align(x, y)
+            if overlap >= 0.5 * min(len(x), len(y)) and error <= 0.2:
+                low, high = sorted((want[i], want[j]))
+                want = [low if p == high else p for p in want]
+    assert len(set(want)) < 12
+    assert groups(spark, recs, most) == want
+    for limit in (1, 300):  # votes that are counted at once
+        links = A.forest(recs, None, 0.2, 0.5, limit)
+        part = list(range(len(recs)))
+        for a, b, offset, error in links:
+            assert (offset, error) == A.align(recs[a], recs[b])[::2]
+            low, high = sorted((part[a], part[b]))
+            part = [low if p == high else p for p in part]
+        assert part == want and len(links) == len(recs) - len(set(want))
