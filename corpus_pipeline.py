@@ -35,7 +35,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a Jaccard similarity of 0.8 of five-word shingles, found exactly, the document with the smallest id stays."""
+    """Of texts linked by a Jaccard similarity of 0.8 of five-word shingles, the document with the smallest id stays.
+
+    SimHash's byte-position index with count filtering finds links first, prefix filtering exactly those that it misses.
+    """
     return similar_dedup(docs, SIMILARITY, n_words=5)
 
 

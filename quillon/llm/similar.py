@@ -1,4 +1,7 @@
-"""Near-dedup at a stated Jaccard similarity, exactly: prefix filtering, parity fingerprints with a count filter, verification.
+"""Near-dedup at a stated Jaccard similarity, exactly: SimHash's byte-position index, prefix filtering for the rest, parity fingerprints with a count filter, verification.
+
+Texts whose SimHash fingerprints differ in 4 bits or fewer meet in the index of `simhash`, which tallies shared positional bytes.
+No SimHash finds all pairs of a given similarity, so the exact way for the rest follows; both are verified alike.
 
 A text is the set of its distinct word shingles, kept in one global order. Two sets of n and m shingles whose
 Jaccard similarity is t or more share one among the first n - ceil(t n) + 1 of the one and the first
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import connected_components, cut, pieces, spare, stored, text_bytes, words
-from quillon.llm.simhash import FOLD, SEED
+from quillon.llm.simhash import FOLD, SEED, near_links
 
 LIST = 32
 #: How many shingles are ordered by how frequent they are, at most, and from what count on.
@@ -95,6 +98,14 @@ def set_node(h: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63)
 
 
+def simhash(h: np.ndarray) -> int:
+    """A set's SimHash, as a signed number: a bit is 1 where it is in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+
+
 def prefix_length(n: int, similarity: float) -> int:
     return n - int(np.ceil(similarity * n - SLACK)) + 1 if n else 0
 
@@ -114,9 +125,9 @@ def differing(a: bytes, b: bytes) -> int:
 
 
 def _first_pass(n_words: int, similarity: float):
-    """For each text (k, th, node, n, p, bits), bits where a stretch of texts has the node first; and (shingle, many) of those that texts of a stretch share."""
-    names = ["k", "th", "node", "n", "p", "bits", "shingle", "many"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+    """For each text (k, th, node, n, p, bits, fp), bits and fp where a stretch of texts has the node first; and (shingle, many) of those that texts of a stretch share."""
+    names = ["k", "th", "node", "n", "p", "bits", "fp", "shingle", "many"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
     def batch(columns, n):
         return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, kinds)], names)
@@ -128,17 +139,18 @@ def _first_pass(n_words: int, similarity: float):
     def run(batches):
         held, total, seen = [], 0, set()
         for b in pieces(batches, "t"):
-            nodes, sizes, bits = [], [], []
+            nodes, sizes, bits, fps = [], [], [], []
             for h in shingle_sets(b.column("t"), n_words):
                 nodes.append(set_node(h))
                 sizes.append(len(h))
                 bits.append(None)
+                fps.append(None)
                 if nodes[-1] not in seen:
                     seen.add(nodes[-1])
-                    bits[-1] = parities(h)
+                    bits[-1], fps[-1] = parities(h), simhash(h)
                     held.append(h)
                     total += len(h)
-            yield batch({"k": b.column("k"), "th": b.column("th"), "node": nodes, "n": sizes, "p": [prefix_length(n, similarity) for n in sizes], "bits": bits}, len(nodes))
+            yield batch({"k": b.column("k"), "th": b.column("th"), "node": nodes, "n": sizes, "p": [prefix_length(n, similarity) for n in sizes], "bits": bits, "fp": fps}, len(nodes))
             if total >= COUNTED:
                 yield counts(held)
                 held, total, seen = [], 0, set()
@@ -148,7 +160,7 @@ def _first_pass(n_words: int, similarity: float):
     return run
 
 
-FIRST_PASS = "k long, th long, node long, n int, p int, bits binary, shingle long, many long"
+FIRST_PASS = "k long, th long, node long, n int, p int, bits binary, fp long, shingle long, many long"
 
 
 def common_shingles(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -322,6 +334,15 @@ def _pairs(similarity: float):
     return run
 
 
+def simhash_pairs(prints: DataFrame) -> DataFrame:
+    """(a, b) of nodes with the same components as fingerprints (node, fp) of at most 4 differing bits."""
+    lead = cut(prints.groupBy("fp").agg(F.min("node").alias("lead")))
+    near = near_links(lead.select("fp"))
+    same = prints.join(lead, "fp").where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    apart = near.join(lead.toDF("a", "x"), "a").join(lead.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return same.union(apart)
+
+
 def _near_enough(similarity: float):
     """The count filter: keeps (a, b) whose fingerprints differ in no more bits than similar sets can."""
     most = (1 - similarity) / (1 + similarity)
@@ -431,11 +452,12 @@ def similar_dedup(docs: DataFrame, similarity: float = 0.8, n_words: int = 5, id
     total = first.agg(F.sum(F.col("p").cast("long"))).first()[0] or 0
     bits = min(MOST_BUCKETS, max(6, (total // BUCKET).bit_length()))
     known = cut(first.where("node is not null").groupBy("node").agg(F.min(F.struct("k", "th")).alias("lead"), F.first("n").alias("n")).select("node", "lead.k", "lead.th", "n"))
-    prints = cut(first.where("bits is not null").select("node", "n", "bits").dropDuplicates(["node"]))
+    prints = cut(first.where("bits is not null").select("node", "n", "bits", "fp").dropDuplicates(["node"]))
 
     posts = slim.select("t").mapInArrow(_postings(n_words, similarity, common, bits), "bucket int, kind byte, data binary")
     found = stored(posts.repartition(1 << min(bits, 15), "bucket").sortWithinPartitions("bucket").mapInArrow(_pairs(similarity), "a long, b long, key long"))
-    pairs = found.where("b is not null").select("a", "b").distinct()
+    pairs = found.where("b is not null").select("a", "b").union(simhash_pairs(prints.select("node", "fp"))).distinct()
+    prints = prints.drop("fp")
     both = pairs.join(prints.toDF("a", "n", "x"), "a").join(prints.toDF("b", "m", "y"), "b")
     near = cut(both.mapInArrow(_near_enough(similarity), "a long, b long"))
     lists = found.where("key is not null").select("key", F.col("a").alias("node"))

@@ -172,3 +172,22 @@ def test_shingles_of_odd_texts():
     assert got[3] == got[4] == got[15]
     rest = got[4:15]
     assert len(set(rest)) == len(rest) and [len(g) for g in rest] == [1, 1, 1, 1, 1, 2, 1, 1, 1, 1, 1]
+
+
+def test_simhash_index_finds_links(spark, monkeypatch):
+    """Without the prefixes' pairs, what the byte-position index finds is still verified and linked."""
+
+    def none(similarity):
+        return lambda batches: iter(())
+
+    monkeypatch.setattr(S, "_pairs", none)
+    r, rows = random.Random(5), []
+    for i in range(30):
+        b = [f"w{r.randrange(10**6)}" for _ in range(400)]
+        rows += [(2 * i, " ".join(b)), (2 * i + 1, " ".join([*b, "more"]))]
+    near = 0
+    for (_, x), (_, y) in zip(rows[::2], rows[1::2]):
+        x, y = (S.simhash(next(S.shingle_sets(S.pa.array([t]), 5))) for t in (x, y))
+        near += ((x ^ y) & (2**64 - 1)).bit_count() <= 4
+    assert near > 10
+    assert len(kept(spark, rows)) == 60 - near
