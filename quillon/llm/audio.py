@@ -160,39 +160,52 @@ def run_keys(codes: np.ndarray) -> np.ndarray:
 def _meetings(first: list[np.ndarray], second: list[np.ndarray] | None, root: np.ndarray, most: int):
     """(i, j, offset) of pairs that share an integer, i in `first` and j in `second` (without it: j > i in `first`): as `align` has it, all pairs of some i at a time.
 
-    Pairs of one `root` (of `first`, then of `second`) by then are left out. An i with over `most` votes goes through `align`, one j after the other.
+    Pairs of one `root` (of `first`, then of `second`) by then are left out. Each integer's places are sorted by root, so that those of the own
+    one aren't even counted, and sorted anew as roots change. An i with over `most` votes goes through `align`, one j after the other.
     """
     other = first if second is None else second
     theirs = root[len(first) :] if second is not None else root  # a view
-    size = np.array([len(c) for c in other])
-    code = np.concatenate(other)
-    of, at = np.repeat(np.arange(len(other)), size), np.concatenate([np.arange(n) for n in size])
-    order = np.argsort(code, kind="stable")
-    code, of, at = code[order], of[order], at[order]
-    own, whose = np.concatenate(first), np.repeat(np.arange(len(first)), [len(c) for c in first])
-    place = np.concatenate([np.arange(len(c)) for c in first])
-    lo = np.searchsorted(code, own, "left")
-    votes = np.searchsorted(code, own, "right") - lo
-    total = np.append(0, np.cumsum(np.bincount(whose, votes, len(first)).astype(np.int64)))
-    begins = np.searchsorted(whose, np.arange(len(first) + 1))
-    i = 0
+    size, own_size = (np.array([len(c) for c in x]) for x in (other, first))
+    code, own = np.concatenate(other).astype(np.uint64) << np.uint64(32), np.concatenate(first).astype(np.uint64) << np.uint64(32)
+    of, whose = np.repeat(np.arange(len(other)), size), np.repeat(np.arange(len(first)), own_size)
+    at, place = (spread(np.zeros(len(n), np.int64), n) for n in (size, own_size))
+    begins = np.append(0, np.cumsum(own_size))
+    was, i, counted = None, 0, 0
     while i < len(first):
-        to = max(i + 1, int(np.searchsorted(total, total[i] + most, "right")) - 1)
-        r = slice(begins[i], begins[to])
-        if total[to] - total[i] > most:
-            met = np.unique(of[spread(lo[r], votes[r])])
-            met = met[(theirs[met] != root[i]) & ((met > i) | (second is not None))]
-            yield np.full(len(met), i), met, np.array([align(first[i], other[j])[0] for j in met.tolist()], np.int64)
+        if was is None or 4 * counted >= len(code) and not np.array_equal(was, root):
+            was, counted = root.copy(), 0
+            if second is None:  # nothing before i is asked for again
+                left = of > i
+                code, of, at = code[left], of[left], at[left]
+            key = code | was[len(was) - len(other) :][of].astype(np.uint64)
+            order = np.argsort(key)
+            key, code, of, at = key[order], code[order], of[order], at[order]
+        some = max(i + 1, int(np.searchsorted(begins, begins[i] + min(most, 1 << 14), "right")) - 1)
+        r = slice(begins[i], begins[some])
+        own_key = own[r] | was[whose[r]].astype(np.uint64)
+        lo, hi = np.searchsorted(key, own[r]), np.searchsorted(key, own[r] | np.uint64(0xFFFFFFFF), "right")
+        same, past = np.searchsorted(key, own_key), np.searchsorted(key, own_key, "right")
+        total = np.append(0, np.cumsum(np.bincount(whose[r] - i, same - lo + hi - past, some - i).astype(np.int64)))
+        to = i + max(1, int(np.searchsorted(total, most, "right")) - 1)
+        n = begins[to] - begins[i]
+        starts, votes = np.stack([lo[:n], past[:n]], 1).ravel(), np.stack([same[:n] - lo[:n], hi[:n] - past[:n]], 1).ravel()
+        counted += int(total[to - i]) + n
+        if total[to - i] > most:
+            met = np.unique(of[spread(starts, votes)])
+            for some in range(0, len(met), 64):
+                j = met[some : some + 64]
+                j = j[(theirs[j] != root[i]) & ((j > i) | (second is not None))]
+                yield np.full(len(j), i), j, np.array([align(first[i], other[y])[0] for y in j.tolist()], np.int64)
         else:
-            hit = spread(lo[r], votes[r])
-            x, y, d = np.repeat(whose[r], votes[r]), of[hit], np.repeat(place[r], votes[r]) - at[hit]
+            hit, r = spread(starts, votes), slice(begins[i], begins[to])
+            x, y, d = np.repeat(np.repeat(whose[r], 2), votes), of[hit], np.repeat(np.repeat(place[r], 2), votes) - at[hit]
             apart = (theirs[y] != root[x]) & ((y > x) | (second is not None))
             x, y, d = x[apart], y[apart], d[apart]
             if len(x):
                 # votes by pair and offset; of a pair's, the most, then the least offset, then a negative one
                 low, wide = int(d.min()), int(d.max() - d.min()) + 1
-                key, n = np.unique(((x - i) * len(other) + y) * wide + (d - low), return_counts=True)
-                pair, d = key // wide, key % wide + low
+                found, n = np.unique(((x - i) * len(other) + y) * wide + (d - low), return_counts=True)
+                pair, d = found // wide, found % wide + low
                 best = np.lexsort((d, np.abs(d), -n, pair))
                 best = best[np.append(True, np.diff(pair[best]) != 0)]
                 yield i + pair[best] // len(other), pair[best] % len(other), d[best]
@@ -205,10 +218,11 @@ def _bit_errors(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray
     return np.add.reduceat(wrong, np.cumsum(overlap) - overlap, dtype=np.int64)
 
 
-def forest(first: list[np.ndarray], second: list[np.ndarray] | None, most_error: float, least_overlap: float, most: int = 1 << 18) -> list[tuple[int, int, int, float]]:
+def forest(first: list[np.ndarray], second: list[np.ndarray] | None, most_error: float, least_overlap: float, most: int = 1 << 18, root: np.ndarray | None = None) -> list[tuple[int, int, int, float]]:
     """(i, j, offset, error): a forest of the matches of recordings in `first` with those in `second`, or without `second` with each other.
 
-    Every pair that shares an integer is aligned, so long as nothing joins the two already. Members of `second` count on from those of `first`.
+    Every pair that shares an integer is aligned, so long as nothing joins the two already: an earlier match, or equal numbers from 0 on in `root`.
+    Members of `second` count on from those of `first`.
     """
     if not len(first) or second is not None and not len(second):
         return []
@@ -216,7 +230,7 @@ def forest(first: list[np.ndarray], second: list[np.ndarray] | None, most_error:
     a, b = np.concatenate(first), np.concatenate(other)
     n, m = np.array([len(c) for c in first]), np.array([len(c) for c in other])
     a0, b0 = np.cumsum(n) - n, np.cumsum(m) - m
-    root = np.arange(len(first) + (len(second) if second is not None else 0))
+    root = np.arange(len(first) + (len(second) if second is not None else 0)) if root is None else root.copy()
     out = []
     for i, j, d in _meetings(first, second, root, most):
         x, y = np.maximum(d, 0), np.maximum(-d, 0)
@@ -243,7 +257,7 @@ def _codes(col: pa.Array) -> list[np.ndarray]:
 
 
 def _block(most_error: float, least_overlap: float):
-    """Two parts of the recordings, or one with itself. a is the one before by (least, sha)."""
+    """Two parts of the recordings, or one with itself. a is the one before by (least, sha); what has one `root` is joined already."""
 
     def run(key, table):
         i, j = key[0].as_py(), key[1].as_py()
@@ -255,8 +269,9 @@ def _block(most_error: float, least_overlap: float):
         else:
             own, other = np.flatnonzero(part == i), np.flatnonzero(part == j)
             place = np.append(own, other)
+            _, root = np.unique(np.asarray(table.column("root").combine_chunks())[place], return_inverse=True)
             links = []
-            for x, y, offset, error in forest([codes[k] for k in own], [codes[k] for k in other], most_error, least_overlap):
+            for x, y, offset, error in forest([codes[k] for k in own], [codes[k] for k in other], most_error, least_overlap, root=root):
                 x, y = int(place[x]), int(place[y])
                 if x > y:  # a tie of offsets is broken from the earlier one's side
                     x, y = y, x
@@ -271,15 +286,24 @@ def _block(most_error: float, least_overlap: float):
 def link_recordings(distinct: DataFrame, most_error: float, least_overlap: float, most: int = 1 << 14) -> DataFrame:
     """(a, b, offset, error): matches that join whatever matches among the recordings (id, least, sha, codes).
 
-    They are cut into parts of about `most` by hash, and each pair of parts is a task: all pairs that share an integer are compared,
-    which grows with the square of the recordings.
+    They are cut into parts of about `most` by hash. First each part is a task, then each pair of parts, which leaves out pairs that the parts have
+    joined. All other pairs that share an integer are compared, which grows with the square of the recordings where few of them match.
     """
     total = distinct.count()
     parts = max(1, -(-total // most), min(8, -(-total // 512)))
     parted = distinct.withColumn("part", F.pmod(F.xxhash64("sha"), F.lit(parts)).cast("int"))
-    other = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    sides = other.select("id", "least", "sha", "codes", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    return sides.groupBy("i", "j").applyInArrow(_block(most_error, least_overlap), KIND)
+    columns = ["id", "least", "sha", "codes", "part", "root", "i", "j"]
+    alone = parted.select("*", F.col("id").alias("root"), F.col("part").alias("i"), F.col("part").alias("j")).select(columns)
+    within = alone.repartition(parts, "i", "j").groupBy("i", "j").applyInArrow(_block(most_error, least_overlap), KIND)
+    if parts == 1:
+        return within
+    within = cut(within)
+    known = connected_components(within.select("a", "b")).select(F.col("node").alias("id"), "component")
+    rooted = parted.join(known, "id", "left").withColumn("root", F.coalesce("component", "id"))
+    other = rooted.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).where("part != other")
+    sides = other.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).select(columns)
+    blocks = sides.repartition(parts * (parts - 1) // 2, "i", "j").groupBy("i", "j")
+    return within.union(blocks.applyInArrow(_block(most_error, least_overlap), KIND))
 
 
 def align_recordings(media: DataFrame, id_col: str = "rec_id", media_col: str = "media", decode: Callable = from_wav, most_error: float = 0.2, least_overlap: float = 0.5, most: int = 1 << 14) -> DataFrame:

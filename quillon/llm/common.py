@@ -135,16 +135,35 @@ def _with_least(edges: DataFrame, ends: int, with_self: bool) -> DataFrame:
     return edges.join(F.broadcast(hubs), "u").unionByName(rest)
 
 
+#: So many edges (16 bytes each) are united in one go on the driver; more take steps until no more are left.
+LOCAL = 1 << 18
+
+
+def least_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (u, v), sorted, and the least node that each reaches."""
+    node, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b, root = at[: len(u)], at[len(u) :], np.arange(len(node))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return node, node[root]
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))  # of roots alone, each of which goes below a lesser one
+        while not np.array_equal(root, up := root[root]):
+            root = up
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in `edges` (long a, long b): the smallest node that links reach.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until no edge
     changes, in O(log^2 n) rounds. Each step is a grouped minimum, which combines a hub's edges on the map
-    side, and `_with_least`, which gathers no hub. Each round is cut.
+    side, and `_with_least`, which gathers no hub. Each round is cut. Up to `LOCAL` edges need no rounds: they are united on the driver, with the same result.
     """
     e = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    while mark[0]:
+    while mark[0] > LOCAL:
         ends = 2 * mark[0]  # a large star has no more edges than `e`
         big = cut(_with_least(e.union(e.select("v", "u")), ends, True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         small = _with_least(big, ends, False)
@@ -152,6 +171,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         was, mark = mark, e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if was == mark:
             break
+    if mark[0] <= LOCAL:
+        found = e.toArrow()
+        node, component = least_reachable(*(found.column(c).to_numpy().astype(np.int64) for c in ("u", "v")))
+        return cut(e.sparkSession.createDataFrame(pa.table({"node": node, "component": component})))
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 

@@ -197,3 +197,20 @@ def test_links_without_a_common_run(spark, most):
             low, high = sorted((part[a], part[b]))
             part = [low if p == high else p for p in part]
         assert part == want and len(links) == len(recs) - len(set(want))
+
+
+def test_votes_of_joined_recordings_are_not_counted(monkeypatch):
+    """All share an integer; what is joined, by a match or by `root`, costs no votes, and strangers are still held against everything."""
+    g = np.random.default_rng(8)
+    recs = [np.array([7, 5, 1 << 20 | x], np.uint32) for x in range(2000)]
+    strange = [np.append(g.integers(1 << 32, size=9, dtype=np.uint32), np.uint32(7)) for _ in range(3)]
+    counted, spread = [], A.spread
+    monkeypatch.setattr(A, "spread", lambda starts, size: counted.append(int(size.sum())) or spread(starts, size))
+    assert len(A.forest(recs[:1000] + strange + recs[1000:], None, 0.2, 0.5, 1 << 12)) == 1999
+    assert sum(counted) < 400_000  # all pairs have 4,000,000
+    counted.clear()
+    root = np.append(np.zeros(2000, int), [1, 2, 3])
+    assert A.forest(recs, [*strange, *recs], 0.2, 0.5, 1 << 12, np.append(root, np.zeros(2000, int))) == []
+    assert sum(counted) < 50_000
+    assert len(A.forest(strange, recs, 0.2, 0.5, 1 << 12, np.append([1, 2, 3], np.zeros(2000, int)))) == 0
+    assert len(A.forest(recs[:1], recs[1:], 0.2, 0.5, 1 << 12, np.append(1, np.zeros(1999, int)))) == 1

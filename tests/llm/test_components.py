@@ -44,3 +44,20 @@ def test_components(spark, monkeypatch, case, hub):
     got = common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     want = plain([e for e in edges if e[0] != e[1]])
     assert len(got) == len(want) and {r.node: r.component for r in got} == want
+
+
+@pytest.mark.parametrize("case", CASES)
+@pytest.mark.parametrize("local", [-1, 600])
+def test_components_by_steps(spark, monkeypatch, case, local):
+    """Steps alone, and steps until 600 edges are left."""
+    monkeypatch.setattr(common, "LOCAL", local)
+    test_components(spark, monkeypatch, case, 4)
+
+
+def test_few_edges_are_cut_twice(spark, monkeypatch):
+    """A chain took a dozen rounds, each of several stored steps in as many small files as there are tasks."""
+    cuts, cut = [], common.cut
+    monkeypatch.setattr(common, "cut", lambda df: cuts.append(1) or cut(df))
+    edges = [(x, x + 1) for x in range(300)]
+    got = common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == dict.fromkeys(range(301), 0) and len(cuts) == 2
