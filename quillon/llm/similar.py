@@ -19,8 +19,9 @@ the most frequent of them go behind all others, which go by their hash.
 Postings travel packed, as one string for each bucket of keys from each million of a task's. A list of up to `LIST` texts
 yields all its pairs. In a longer one each text is paired with the list's first text, which unites what lies around one
 original; where a task alone has so many, it pairs them itself and sends on the first only, so a list that all documents stand in
-is never gathered. Long lists that are still of more than one component after that are compared whole, in blocks of parts of
-`most` texts, and leave a forest of the links of each block.
+is never gathered. Long lists that are still of more than one component after that are split by sizes, and all pairs of different
+components and near enough sizes meet the count filter there, in blocks of parts of `most` texts. What passes is verified pair by pair;
+only where it is more pairs than texts are those texts' sets compared whole, by blocks again, which leave a forest of their links.
 """
 
 from __future__ import annotations
@@ -411,6 +412,89 @@ def _block(similarity: float):
     return run
 
 
+def near_within(n: np.ndarray, bits: list[bytes], apart: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of these sets that are `apart` (a square of booleans) and pass sizes and the count filter, by their sizes and fingerprints."""
+    by = np.argsort(n, kind="stable")
+    n, width, left, right = n[by], np.array([len(bits[i]) for i in by]), [], []
+    most = (1 - similarity) / (1 + similarity) + SLACK
+    stop = np.searchsorted(similarity * n - SLACK, n, "right")  # from there on sizes are too large
+    for w in np.unique(width):
+        own = np.flatnonzero(width == w)
+        lo, hi = own[0], max(own[-1] + 1, stop[own[-1]])
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(bits[by[i]], "<u8").reshape(-1, w // 8), 0) for i in range(lo, hi)])
+        for i in own:
+            to = np.arange(i + 1, stop[i])
+            to = to[apart[by[i], by[to]]]
+            differ = np.bitwise_count(folded[to - lo] ^ folded[i - lo]).sum(1, dtype=np.int64)
+            to = to[differ <= (n[i] + n[to]) * most]
+            left.append(np.full(len(to), by[i]))
+            right.append(by[to])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _near_in_blocks(similarity: float):
+    """From blocks (key, size, i, j) of texts to pairs (a, b, key null) that pass the count filter, or, if these are more than the block has texts, their texts (a, b null, key)."""
+
+    def block(t):
+        node, component, n = (np.asarray(t.column(c).combine_chunks()) for c in ("node", "component", "n"))
+        part, larger = np.asarray(t.column("part").combine_chunks()), t.column("larger").combine_chunks().to_numpy(zero_copy_only=False)
+        apart = (component[:, None] != component) & ~(larger[:, None] & larger)
+        if t.column("i")[0] != t.column("j")[0]:
+            apart &= part[:, None] != part
+        if not apart.any():
+            return []
+        a, b = near_within(n, t.column("bits").to_pylist(), apart, similarity)
+        if len(a) <= len(node):
+            return [(np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), None)]
+        some = np.unique(node[np.append(a, b)])
+        return [(some, None, t.column("key")[0].as_py())]
+
+    def out(t):
+        if not t.num_rows:
+            return
+        by = [np.asarray(t.column(c).combine_chunks()) for c in ("key", "size", "i", "j")]
+        begins = np.flatnonzero(np.append(True, np.any([np.diff(x) != 0 for x in by], 0)))
+        for lo, hi in zip(begins, np.append(begins[1:], t.num_rows)):
+            for a, b, key in block(t.slice(lo, hi - lo)):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64()), pa.array([key] * len(a), pa.int64())], ["a", "b", "key"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            if not t.num_rows:
+                continue
+            same = np.all([np.asarray(t.column(c).combine_chunks()) == t.column(c)[-1].as_py() for c in ("key", "size", "i", "j")], 0)
+            last = t.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0  # the last block may go on in the next batch
+            yield from out(t.slice(0, last))
+            held = t.slice(last).combine_chunks()
+        if held is not None:
+            yield from out(held)
+
+    return run
+
+
+def near_in_lists(posts: DataFrame, prints: DataFrame, similarity: float, most: int) -> DataFrame:
+    """(a, b, key null): pairs of different components in one of the lists `posts` (key, node, component) that pass the count filter; (a, b null, key): texts of which a list has too many.
+
+    Sizes are split so that near enough ones are in one class or the next; lists that have the same texts there count once.
+    """
+    step = float(np.log((1 + 1e-6) / max(similarity, 1e-10)))
+    rows = posts.join(prints.select("node", "n"), "node").withColumn("size", F.floor(F.log("n") / step).cast("long"))
+    own = F.struct("size", F.lit(False).alias("larger"))
+    below = F.struct((F.col("size") - 1).alias("size"), F.lit(True).alias("larger"))
+    rows = rows.select("key", "node", "component", F.explode(F.array(own, below)).alias("x")).select("key", "node", "component", "x.size", "x.larger")
+    same = [F.expr(f"bit_xor(xxhash64({k}, node, larger))").alias(f"x{k}") for k in range(2)]
+    sums = [F.count(F.lit(1)).alias("many"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_and("larger").alias("none"), *same]
+    groups = cut(rows.groupBy("key", "size").agg(*sums).where("lo < hi and not none").dropDuplicates(["size", "many", "x0", "x1"]).select("key", "size", "many"))
+    of = F.ceil(F.col("many") / most).cast("int")
+    rows = rows.join(groups, ["key", "size"]).withColumn("of", of).withColumn("part", F.pmod(F.xxhash64("node"), F.col("of").cast("long")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+    rows = rows.join(prints.select("node", "n", "bits"), "node").select("key", "size", "i", "j", "node", "component", "n", "part", "larger", "bits")
+    return rows.repartition("key", "size", "i", "j").sortWithinPartitions("key", "size", "i", "j").mapInArrow(_near_in_blocks(similarity), "a long, b long, key long")
+
+
 def list_links(posts: DataFrame, sets: DataFrame, similarity: float, most: int) -> DataFrame:
     """(a, b): a forest of the links of each block of the lists `posts` (key, node, n)."""
     of = F.ceil(F.col("n") / most).cast("int")
@@ -468,14 +552,34 @@ def similar_dedup(docs: DataFrame, similarity: float = 0.8, n_words: int = 5, id
 
     named = lists.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    open_lists = cut(lists.join(apart.select("key"), "key").distinct())
+    open_lists = cut(named.join(apart.select("key"), "key").select("key", "node", "component").distinct())
     if not open_lists.isEmpty():
-        sizes = open_lists.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        more = sets_of(open_lists.select("node").distinct(), known, slim, n_words)
-        parts = connected_components(links.union(cut(list_links(open_lists.join(sizes, "key"), more, similarity, most))))
+        more = cut(near_in_lists(open_lists, prints, similarity, most).distinct())
+        pairs, crowds = more.where("b is not null").select("a", "b"), more.where("b is null").select("key", F.col("a").alias("node"))
+        sets = sets_of(more.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), known, slim, n_words)
+        links = links.union(cut(verified(pairs, sets, similarity)))
+        if not crowds.isEmpty():
+            sizes = crowds.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+            links = links.union(cut(list_links(crowds.join(sizes, "key"), sets, similarity, most)))
+        parts = connected_components(links)
 
     where = known.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     key, th = spare(docs, "key", "th")
-    lead = where.groupBy("part").agg(F.min(F.struct("k", "th")).alias("lead")).select(F.col("lead.k").alias(key), F.col("lead.th").alias(th))
+    lead = where.groupBy("part").agg(F.min(F.struct("k", "th")).alias("lead")).select("lead.k", "lead.th")
     rows = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(last)), th: F.xxhash64(text)})
-    return rows.join(lead, [key, th]).dropDuplicates([key, th]).select(*docs.columns)
+    return kept_rows(rows, first.where("node is not null").select("k", "th"), cut(lead), key, th).select(*docs.columns)
+
+
+def kept_rows(rows: DataFrame, all_rows: DataFrame, lead: DataFrame, key: str, th: str) -> DataFrame:
+    """Of `rows` those of `lead` (k, th), each once. all_rows: (k, th) of every row.
+
+    Up to BROADCAST_ROWS that go, or that repeat, are broadcast and the rows stay where they are; beyond that they are shuffled.
+    """
+    counts = all_rows.groupBy("k", "th").agg(F.count(F.lit(1)).alias("n")).join(lead.withColumn("leads", F.lit(True)), ["k", "th"], "left")
+    odd = cut(counts.where("leads is null or n > 1").select(F.col("k").alias(key), F.col("th").alias(th), (F.col("leads").isNotNull()).alias("again")))
+    lead = lead.select(F.col("k").alias(key), F.col("th").alias(th))
+    if odd.count() > BROADCAST_ROWS:
+        return rows.join(lead, [key, th]).dropDuplicates([key, th])
+    again = odd.where("again").select(key, th)
+    once = rows.join(F.broadcast(odd.select(key, th)), [key, th], "left_anti")
+    return once if again.isEmpty() else once.unionByName(rows.join(F.broadcast(again), [key, th]).dropDuplicates([key, th]))

@@ -191,3 +191,59 @@ def test_simhash_index_finds_links(spark, monkeypatch):
         near += ((x ^ y) & (2**64 - 1)).bit_count() <= 4
     assert near > 10
     assert len(kept(spark, rows)) == 60 - near
+
+
+def test_long_lists_send_few_sets(spark, monkeypatch):
+    """Of texts that share a passage and nothing else no sets are gathered, and their links are found."""
+    monkeypatch.setattr(S, "COMMON_FROM", 1 << 40)
+    asked = []
+    monkeypatch.setattr(S, "sets_of", lambda nodes, *a, f=S.sets_of: asked.append(nodes.count()) or f(nodes, *a))
+    passage = [f"p{j}" for j in range(30)]
+    rows = [(i, passage + [f"t{i}w{j}" for j in range(30)]) for i in range(80)]
+    rows = [(i, " ".join(ws)) for i, ws in rows + [(100 + i, [*rows[i][1][:-1], "other"]) for i in range(0, 80, 20)]]
+    assert kept(spark, rows) == sorted(brute(rows)) == list(range(80))
+    assert sum(asked) <= 32
+
+
+def test_near_within_and_seams():
+    """Every similar pair of sets of all sizes passes, wherever batches are cut; so many pairs that they outnumber the texts leave the texts."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    groups = []
+    for n in (1, 2, 7, 30, 31, 33, 64, 120, 128, 130, 900):
+        base = r.integers(0, 1 << 63, n).astype(np.uint64)
+        groups += [np.unique(np.append(base[: n - d], r.integers(0, 1 << 63, e).astype(np.uint64))) for d, e in ((0, 0), (0, n // 4), (n // 9, n // 9), (n // 5, 0), (n // 2, n // 2)) if n > d]
+    n, bits = np.array([len(g) for g in groups]), [S.parities(g) for g in groups]
+    a, b = S.near_within(n, bits, ~np.eye(len(n), dtype=bool), 0.8)
+    got = {tuple(sorted(x)) for x in zip(a.tolist(), b.tolist())}
+    assert len(got) == len(a)
+    want = {(i, j) for j in range(len(n)) for i in range(j) if min(n[i], n[j]) >= 0.8 * max(n[i], n[j]) - 1e-9 and S.differing(bits[i], bits[j]) <= (n[i] + n[j]) / 9 + 1e-6}
+    near = S.linked(groups, 0.8)
+    assert got == want and {(i, j) for i, j in want if near[i, j]} == {(i, j) for j in range(len(n)) for i in range(j) if near[i, j]} != set()
+
+    keys = np.arange(len(n)) % 3
+    by = np.argsort(keys, kind="stable")
+    t = {"key": keys, "size": keys * 0, "i": keys * 0, "j": keys * 0, "node": np.arange(len(n)) * 10, "component": np.arange(len(n)), "n": n, "part": keys * 0, "larger": n < 0}
+    t = pa.table({c: x[by] for c, x in t.items()} | {"bits": [bits[k] for k in by]})
+
+    def out(rows):
+        return sorted(tuple(x.values()) for y in S._near_in_blocks(0.8)(iter(t.to_batches(rows))) for x in y.to_pylist())
+
+    pairs = {(10 * i, 10 * j, None) for i, j in want if i % 3 == j % 3}
+    assert 0 < len(pairs) and set(out(None)) == pairs and out(1) == out(4) == out(None)
+    crowd = pa.table({c: t.column(c).take([0] * 8) for c in t.column_names}).set_column(4, "node", pa.array(range(8))).set_column(5, "component", pa.array(range(8)))
+    assert [x for y in S._near_in_blocks(0.8)(iter(crowd.to_batches(3))) for x in y.to_pylist()] == [{"a": k, "b": None, "key": 0} for k in range(8)]
+
+
+@pytest.mark.parametrize("rows", [1 << 20, 0])
+def test_texts_stay_where_they_are(spark, monkeypatch, rows):
+    """The last join shuffles no texts unless too many rows go; rows that repeat stay once."""
+    monkeypatch.setattr(S, "BROADCAST_ROWS", rows)
+    texts = [(i, f"text {i % 7} has some more words") for i in range(40)]
+    df = S.similar_dedup(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert ("Exchange hashpartitioning" in df._jdf.queryExecution().executedPlan().toString()) == (not rows)
+    assert sorted(r.doc_id for r in df.collect()) == list(range(7))
+    df = S.similar_dedup(spark.createDataFrame([*texts, texts[0], texts[8], (None, None), (None, None)], "doc_id long, text string"))
+    assert sorted((r.doc_id is None, r.doc_id) for r in df.collect()) == [*((False, i) for i in range(7)), (True, None)]
